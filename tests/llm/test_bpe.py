@@ -31,14 +31,15 @@ def test_round_trip_and_tiktoken(spark):
         (4, "word " * 3000, "x"), (4, "word " * 3000, "x"), (5, "a" * 5000, "x"), (6, " " * 700 + "é'll" * 400, "x"), (1, "again", "y"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    made = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, size=256, overlap=32), RANKS)
+    ids = bpe.encode(df, RANKS, public_tokenizers.PATTERN, size=256, overlap=32)
+    made = bpe.decode(ids, RANKS)
     got = sorted((str(r.doc_id), tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in made.collect())
     assert got == sorted((str(i), tuple(enc.encode_ordinary(t or "")), (t or "").encode()) for i, t, _ in rows)
-    out = {r.doc_id: r for r in bpe.digests(made).collect()}
+    out = {r.doc_id: r for r in bpe.digests(ids, RANKS).collect()}
     assert out[2].n_tokens == 0 and out[2].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert out[3].decoded_sha256 == hashlib.sha256(rows[2][1].encode()).hexdigest()
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.digests(bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS)).count() == 0
+    assert bpe.digests(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0

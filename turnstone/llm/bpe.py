@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_and_text
+from .common import key_and_text, slices
 
 #: Characters of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 32_768, 512
@@ -36,7 +36,7 @@ CHUNK, OVERLAP = 32_768, 512
 #: contraction ('re) looks two characters past the token before it.
 LOOKAHEAD = 3
 #: Encoded pieces that a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,7 +128,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def one_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, pieces = regex.compile(pattern).findall, Pieces(read_ranks(ranks_path), pattern)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.ids(find(t)) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,26 +170,31 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, decoded: the raw bytes of each row's ids, concatenated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = {v: k for k, v in read_ranks(ranks_path).items()}
-        for b in batches:
-            out = [b"".join(map(raw.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+        raw = raw_bytes(ranks_path)
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what decode returns."""
+def raw_bytes(ranks_path: str) -> Callable[[np.ndarray], bytes]:
+    table = {v: k for k, v in read_ranks(ranks_path).items()}
+    return lambda ids: b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode returns, decoded as in decode but not kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, str] = {}
-        for b in batches:
+        raw = raw_bytes(ranks_path)
+        names = {v: str(v) for v in read_ranks(ranks_path).values()}
+        for b in slices(batches):
             counts, of_ids, of_text = [], [], []
-            for x, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids = np.frombuffer(x, "<u4").tolist()
+            for x in b.column(1).to_pylist():
+                ids = np.frombuffer(x, "<u4")
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(d).hexdigest())
+                of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
+                of_text.append(hashlib.sha256(raw(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

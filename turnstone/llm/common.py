@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,14 @@ def key_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_mb: float = 2.0) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about that size, so that what is made of a batch stays small."""
+    for b in batches:
+        step = max(1, int(b.num_rows * most_mb * 1e6 / max(b.nbytes, 1)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without nulls, and the n + 1 offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
