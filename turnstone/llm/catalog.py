@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, repair, tokencount
+from . import bpe, compression, repair, tokencount, urlcascade
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
+#: verdict, host, beginning of the path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Hosts blocked with their subdomains where no rule fits.
+BLOCKED_HOSTS = ["adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
+
+
+def op5_urlcascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    return urlcascade.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,4 +55,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+        for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    kinds = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in URL_RULES)
+    blocked = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)
+    return {
+        "op5_urlcascade": rf"""
+            WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+            ruled AS (SELECT *, CASE {fits} END AS rule FROM parts)
+            SELECT page_id, host, path, rule, CASE {kinds} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    }
