@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, repair, tokencount, urlcascade
-from .common import table
+from . import bpe, compression, qualityrules, repair, tokencount, urlcascade
+from .common import stored, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -20,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op3_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(qualityrules.statistics(table(spark, sf_dir, "documents")))
+    return qualityrules.judge(stats, qualityrules.fit(stats, table(spark, sf_dir, "labels")))
+
+
 #: verdict, host, beginning of the path
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Hosts blocked with their subdomains where no rule fits.
