@@ -24,7 +24,6 @@ written; an empty table gives no block; other columns are not read.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,34 +40,42 @@ BASE = 1 << 16
 BLOCK = 2_000_000
 #: Pairs replaced in a round, rounds, and the least count of a pair worth a rule.
 PAIRS, ROUNDS, LEAST = 4096, 4, 24
-#: Encoded pieces that a task remembers.
-CACHE = 150_000
+#: Encoded pieces that a task remembers: the first ones met, which are the most frequent.
+CACHE = 800_000
+
+#: Blocks up to which their first places are broadcast (24 bytes each).
+MOST_BLOCKS = 200_000
 
 SCHEMA = "shard long, block long, doc_ids binary, has_id binary, symbol_ends binary, token_ends binary, rules binary, lengths binary, symbols binary"
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library makes them; each pre-token is encoded once and remembered."""
+    """Ids of texts as the tokenizers library makes them; its model encodes each pre-token once and the ids are remembered."""
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > BASE:
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.get_vocab_size() > BASE:
             raise ValueError(f"more than {BASE} ids")
-        self.find, self.known = regex.compile(pattern).findall, {}
+        self.model, self.find, self.known = tokenizer.model, regex.compile(pattern).findall, {}
+        # the characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+    def piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, piece.encode())))], "<u2").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         pieces = [self.find(t) for t in texts]
-        new = [x for x in set().union(*pieces) if x not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(set().union(*pieces))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[x] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        known, room = self.known, CACHE - len(self.known)
+        new = {x: self.piece(x) for x in set().union(*pieces) if x not in known}
+        if len(new) <= room:
+            known.update(new)
+            return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        return [b"".join([known[x] if x in known else new[x] for x in p]) for p in pieces]
 
 
 def grammar(symbols: np.ndarray, ends: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,10 +233,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 docs = list(documents_of(row))
                 for k in range(0, len(docs), 500):
                     own = docs[k : k + 500]
-                    m = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * m, pa.int64()), pa.array([row["block"]] * m, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array([len(x[2]) for x in own], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in own], pa.binary())], ["shard", "block", "doc_id", "at", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([row["base"] + x[1] for x in own], pa.int64()), pa.array([len(x[2]) for x in own], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in own], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    docs = files.mapInArrow(run, "shard long, block long, doc_id long, at long, n_tokens long, ids binary")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,7 +243,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     total = files.select("shard", "block", "token_ends").mapInArrow(sizes, "shard long, block long, n long")
     before = F.sum("n").over(Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1))
     base = total.select("shard", "block", F.coalesce(before, F.lit(0)).alias("base"))
-    return docs.join(base, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # joined to the blocks, not to their documents: broadcast while it is surely small, else dealt by block
+    base = F.broadcast(base) if files.count() <= MOST_BLOCKS else base
+    return files.join(base, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(read_back: DataFrame) -> DataFrame:
