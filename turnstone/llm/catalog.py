@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, qualityrules, repair, tokencount, urlcascade
+from . import bpe, compression, mixing, qualityrules, repair, tokencount, urlcascade
 from .common import stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +25,22 @@ def op3_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.judge(stats, qualityrules.fit(stats, table(spark, sf_dir, "labels")))
 
 
+#: A source's domain is found from its number.
+DOMAINS = ["web", "books", "news", "forum"]
+MIX_WEIGHTS = {"domain": {"web": 4, "books": 3, "news": 2, "forum": 1}, "lang": {"en": 4, "de": 3, "fr": 2, "es": 3}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 1.0, 2, 17
+
+
+def mix_levels() -> dict:
+    domain = f"element_at(array({', '.join(map(repr, DOMAINS))}), cast(coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) as bigint), 0) % {len(DOMAINS)} + 1 as int))"
+    return {"domain": F.expr(domain), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_SEED, MIX_EPOCHS)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens")
+
+
 #: verdict, host, beginning of the path
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Hosts blocked with their subdomains where no rule fits.
@@ -60,17 +76,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    return {"op4_mixing": _mixing_sql(), "op5_urlcascade": _url_sql()}
+
+
+def _mixing_sql() -> str:
+    """Budgets by the same closed form, prefixes by one running sum a leaf."""
+    keys = ["domain", "lang", "source"]
+    case = lambda level: f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1 END" if level in MIX_WEIGHTS else "1"
+    steps = []
+    for k, level in enumerate(keys):
+        own, parent = ", ".join(keys[: k + 1]), ", ".join(keys[:k])
+        part = f"PARTITION BY {parent} " if parent else ""
+        source = f"(SELECT {own}, sum(tokens) AS tokens, sum(tokens) * {MIX_EPOCHS} AS supply FROM leaves GROUP BY {own})"
+        above = f"{source} JOIN (SELECT {parent}, budget AS up FROM b{k - 1}) USING ({parent})" if parent else f"{source}, (SELECT sum(tokens) * {float(MIX_SHARE)} AS up FROM leaves)"
+        steps.append(f"""
+            w{k} AS (SELECT *, ({case(level)})::DOUBLE AS w FROM {above}),
+            x{k} AS (SELECT *, greatest(0, up - coalesce(sum(supply) OVER ({part}ORDER BY supply / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                               / sum(w) OVER ({part}ORDER BY supply / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM w{k}),
+            y{k} AS (SELECT *, arg_min(CASE WHEN x * w < supply THEN x END, CASE WHEN x * w < supply THEN supply / w END) OVER ({part.strip()}) AS level_x FROM x{k}),
+            b{k} AS (SELECT {own}, tokens, supply, CASE WHEN level_x IS NULL THEN supply::DOUBLE ELSE least(supply::DOUBLE, level_x * w) END AS budget FROM y{k})""")
+    return rf"""
+        WITH d AS (SELECT doc_id, ['{"', '".join(DOMAINS)}'][coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1] AS domain, lang, source,
+                          len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {",".join(steps)},
+        plan AS (SELECT domain, lang, source, (floor(least(budget, supply) + 1e-6)::BIGINT // tokens)::BIGINT AS whole, (floor(least(budget, supply) + 1e-6)::BIGINT % tokens)::BIGINT AS rest FROM b2 WHERE tokens > 0),
+        placed AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id) - n_tokens AS before FROM d JOIN plan USING (domain, lang, source))
+        SELECT doc_id, domain, lang, source, unnest(range((whole + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT)) AS epoch, n_tokens::BIGINT AS n_tokens FROM placed"""
+
+
+def _url_sql() -> str:
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
         for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     )
     kinds = " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in URL_RULES)
     blocked = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)
-    return {
-        "op5_urlcascade": rf"""
+    return rf"""
             WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
             parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
             ruled AS (SELECT *, CASE {fits} END AS rule FROM parts)
-            SELECT page_id, host, path, rule, CASE {kinds} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
-    }
+            SELECT page_id, host, path, rule, CASE {kinds} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
