@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, qualityrules, repair, tokencount, urlcascade
+from . import bpe, compression, mixing, probminhash, qualityrules, repair, tokencount, urlcascade
 from .common import stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,10 @@ def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), *tokencount.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op9_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     docs = table(spark, sf_dir, "documents")
@@ -97,7 +101,8 @@ def _mixing_sql() -> str:
             b{k} AS (SELECT {own}, tokens, supply, CASE WHEN level_x IS NULL THEN supply::DOUBLE ELSE least(supply::DOUBLE, level_x * w) END AS budget FROM y{k})""")
     return rf"""
         WITH d AS (SELECT doc_id, ['{"', '".join(DOMAINS)}'][coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1] AS domain, lang, source,
-                          len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM documents),
+                          len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens FROM documents),
         leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {",".join(steps)},
         plan AS (SELECT domain, lang, source, (floor(least(budget, supply) + 1e-6)::BIGINT // tokens)::BIGINT AS whole, (floor(least(budget, supply) + 1e-6)::BIGINT % tokens)::BIGINT AS rest FROM b2 WHERE tokens > 0),
         placed AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id) - n_tokens AS before FROM d JOIN plan USING (domain, lang, source))
