@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, probminhash, qualityrules, repair, tokencount, urlcascade
+from . import bpe, compression, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
 from .common import stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -58,6 +58,10 @@ def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), *tokencount.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
