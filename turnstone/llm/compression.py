@@ -5,11 +5,12 @@ good compresses better with the first, so the difference of both sizes over the
 larger, x = (bad - good) / max, tells the kinds apart; a logistic curve
 fitted on other labelled rows turns x into the chance of label 1.
 
-Bounds: a dictionary is trained on at most PIECES pieces of PIECE bytes of each
-label, those with the smallest hashes, taken from whole texts of labelled rows
-with an even hash of the id; the curve is fitted on all labelled rows with an odd one, counted
-by x rounded to three places, so the driver never holds more than some thousand
-counts. Rows are scored where they are read.
+Bounds: labels are learned from at most SAMPLE rows of each label, those with the
+smallest hashes of their ids. A dictionary is trained on at most PIECES pieces of PIECE
+bytes, taken from whole texts of every second of these rows; the
+curve is fitted on the others, each label weighted by how many rows it stands
+for, from counts by x rounded to three places. The sample's ids are broadcast, so no text
+is dealt out, and rows are scored where they are read.
 
 Defined cases: a null or empty text has x = 0; labels other than 0 and 1 and
 null ids teach nothing; if one label has no rows, every score is 0.5; equal
@@ -28,9 +29,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_and_text, slices
+from .common import key_and_text, slices, stored
 
-DICTIONARY, LEVEL, PIECE, PIECES = 112_640, 3, 1000, 4000
+DICTIONARY, LEVEL, PIECE, PIECES, SAMPLE = 112_640, 3, 1000, 4000, 4000
 
 
 @dataclass(frozen=True)
@@ -79,10 +80,24 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY, pieces: int = PIECES, piece: int = PIECE) -> Model:
+def drawn(rows: DataFrame, counts: dict[int, int], sample: int) -> DataFrame:
+    """At most sample rows of each label y. Hashes over a bound are dropped first, so that no task sends a whole sample to the driver."""
+    out = None
+    for y, n in counts.items():
+        bound = min(1 << 30, int((1 << 30) * (sample + 6 * sample**0.5 + 50) / max(n, 1)))
+        own = rows.filter((F.col("y") == y) & (F.pmod(F.col("h"), F.lit(1 << 30)) < bound)).orderBy("h", "doc_id").limit(sample)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", size: int = DICTIONARY, pieces: int = PIECES, piece: int = PIECE, sample: int = SAMPLE) -> Model:
     """may_learn: over the column doc_id, whether a row's label may be used."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & may_learn)
-    rows = key_and_text(docs, id_col, text_col).join(known, "doc_id").withColumn("odd", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & may_learn & F.col("doc_id").isNotNull())
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        return Model(b"", b"", 0.0, 0.0)
+    chosen = F.broadcast(drawn(known.withColumn("h", F.xxhash64(F.lit(41), "doc_id")), counts, sample))
+    rows = stored(key_and_text(docs, id_col, text_col).join(chosen, "doc_id").withColumn("odd", F.pmod(F.xxhash64("doc_id"), F.lit(2))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -105,10 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str =
     equal = [own[: max(1, int(np.searchsorted(np.cumsum([len(p) for p in own]), least)) + 1)] for own in made]
     model = Model(dictionary(equal[0], size), dictionary(equal[1], size), 0.0, 0.0)
     of = _scorer(rows.filter("odd = 1").select(F.col("y").cast("long").alias("doc_id"), "text"), model, raw=True)
-    counts = of.groupBy(F.round("score", 3).alias("x"), F.col("doc_id").alias("y")).count().collect()
-    if len({r.y for r in counts}) < 2:
+    found = of.groupBy(F.round("score", 3).alias("x"), F.col("doc_id").alias("y")).count().collect()
+    seen = {y: sum(r["count"] for r in found if r.y == y) for y in (0, 1)}
+    if not all(seen.values()):
         return model
-    slope, offset = logistic(*(np.array(v, float) for v in zip(*((r.x, r.y, r["count"]) for r in counts))))
+    total = sum(seen.values()) / sum(counts.values())
+    slope, offset = logistic(*(np.array(v, float) for v in zip(*((r.x, r.y, r["count"] * total * counts[r.y] / seen[r.y]) for r in found))))
     return Model(model.good, model.bad, slope, offset)
 
 
