@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
+from . import bpe, compression, media, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
 from .common import stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(qualityrules.statistics(table(spark, sf_dir, "documents")))
     return qualityrules.judge(stats, qualityrules.fit(stats, table(spark, sf_dir, "labels")))
