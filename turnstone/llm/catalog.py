@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from . import bpe, compression, media, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
 from .common import stored, table
 
-TOKENIZERS = "/opt/tokenizers"
+def multilingual_ranks() -> tuple[str, str]:
+    """Path of the ranks, and the pattern that goes with them."""
+    import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = multilingual_ranks()
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
