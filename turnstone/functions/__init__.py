@@ -1 +1 @@
-"""Interaction analytics on Spark."""
+"""Column functions: no shuffles, no Python on the executors."""

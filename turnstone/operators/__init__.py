@@ -1 +1 @@
-"""Interaction analytics on Spark."""
+"""DataFrame -> DataFrame operators over tables of many users, conversations and events."""

@@ -1 +1 @@
-"""Interaction analytics on Spark."""
+"""Named queries and their SQL."""

@@ -1 +1 @@
-"""Interaction analytics on Spark."""
+"""Where tables come from and go to."""

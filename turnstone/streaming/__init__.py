@@ -1 +1 @@
-"""Interaction analytics on Spark."""
+"""Structured Streaming forms of the stateful operators."""
