@@ -23,6 +23,14 @@ def test_stitched_pieces_are_those_of_the_whole_text():
         assert [p for x in bpe.stitch(PAT, parts, size) for p in x] == PAT.findall(text)
 
 
+def test_fast_form_of_the_pattern():
+    rnd, find = random.Random(2), bpe.pretokens(public_tokenizers.PATTERN)
+    assert public_tokenizers.PATTERN == bpe.KNOWN
+    for _ in range(3000):
+        text = "".join(chr(rnd.choice([rnd.randrange(256), rnd.randrange(32, 127), 32, 39, rnd.randrange(0x3000)])) for _ in range(30))
+        assert find(text) == PAT.findall(text)
+
+
 def test_round_trip_and_tiktoken(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -38,10 +38,12 @@ def test_files(spark):
     rows = [(rnd.choice([None, *range(60)]), rnd.choice([None, "", "".join(rnd.choices(words, k=rnd.randint(1, 300)))])) for _ in range(200)]
     rows += [(7, "same"), (7, "same"), (99, "long " * 20000)]
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "doc_id long, text string, start int")
-    got = [tuple(r) for r in repair.digests(repair.round_trip(df, JSON, public_tokenizers.PATTERN)).orderBy("start").collect()]
+    got = [tuple(r) for r in repair.round_trip(df, JSON, public_tokenizers.PATTERN).orderBy("start").collect()]
     assert got == brute(rows)
+    ids = repair.round_trip(df, JSON, public_tokenizers.PATTERN, digest=False).orderBy("start").collect()
+    assert [zlib.crc32(r.ids) for r in ids] == [x[3] for x in got]
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert repair.digests(repair.round_trip(df, JSON, public_tokenizers.PATTERN)).count() == 0
+    assert repair.round_trip(df, JSON, public_tokenizers.PATTERN).count() == 0

@@ -24,14 +24,15 @@ written; an empty table gives no block; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import pretokens
 from .common import key_and_text, shared_dir, slices
 
 #: First nonterminal: above the ids of any 16-bit vocabulary.
@@ -41,7 +42,7 @@ BLOCK = 2_000_000
 #: Pairs replaced in a round, rounds, and the least count of a pair worth a rule.
 PAIRS, ROUNDS, LEAST = 4096, 4, 24
 #: Encoded pieces that a task remembers: the first ones met, which are the most frequent.
-CACHE = 800_000
+CACHE = 1_500_000
 
 #: Blocks up to which their first places are broadcast (24 bytes each).
 MOST_BLOCKS = 200_000
@@ -58,7 +59,7 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > BASE:
             raise ValueError(f"more than {BASE} ids")
-        self.model, self.find, self.known = tokenizer.model, regex.compile(pattern).findall, {}
+        self.model, self.find, self.known = tokenizer.model, pretokens(pattern), {}
         # the characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -69,13 +70,20 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        pieces = [self.find(t) for t in texts]
-        known, room = self.known, CACHE - len(self.known)
-        new = {x: self.piece(x) for x in set().union(*pieces) if x not in known}
-        if len(new) <= room:
-            known.update(new)
-            return [b"".join(map(known.__getitem__, p)) for p in pieces]
-        return [b"".join([known[x] if x in known else new[x] for x in p]) for p in pieces]
+        known, out = self.known, []
+        for text in texts:
+            pieces = self.find(text)
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces)))
+            except KeyError:
+                own = [known.get(x) for x in pieces]
+                for k, x in enumerate(own):
+                    if x is None:
+                        own[k] = x = known.get(pieces[k]) or self.piece(pieces[k])
+                        if len(known) < CACHE:
+                            known[pieces[k]] = x
+                out.append(b"".join(own))
+        return out
 
 
 def grammar(symbols: np.ndarray, ends: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,12 +110,14 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, pairs: int = PAIRS, rounds: i
         if not len(often):
             break
         chosen = np.sort(inner[first[often]])
+        # a pair is found by a table of hashes; of pairs with one hash the last has its turn now
         hashed = lambda k: ((k ^ (k >> 29)) * 0x9E3779B1 >> 12) & 0xFFFFF
-        maybe = np.zeros(1 << 20, bool)
-        maybe[hashed(chosen)] = True
-        at = np.flatnonzero(maybe[hashed(keys)] & ~last[:-1])
-        rule = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == keys[at]
+        slot = np.zeros(1 << 20, np.int32)
+        slot[hashed(chosen)] = np.arange(1, len(chosen) + 1)
+        rule = slot[hashed(keys)]
+        at = np.flatnonzero((rule > 0) & ~last[:-1])
+        rule = rule[at] - 1
+        hit = chosen[rule] == keys[at]
         at, rule = at[hit], rule[hit]
         # of places next to each other take the first, third, ...
         opens = np.r_[True, np.diff(at) != 1]
@@ -223,9 +233,10 @@ def write(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int, path: s
     dealt.sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32 bits) of each document in the files."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32 bits) of each document in the files; with digest their ids_crc32 instead of ids."""
     files = spark.read.parquet(path)
+    last = "ids_crc32" if digest else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,7 +244,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 docs = list(documents_of(row))
                 for k in range(0, len(docs), 500):
                     own = docs[k : k + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([row["base"] + x[1] for x in own], pa.int64()), pa.array([len(x[2]) for x in own], pa.int64()), pa.array([x[2].astype("<u4").tobytes() for x in own], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([row["base"] + x[1] for x in own], pa.int64()), pa.array([len(x[2]) for x in own], pa.int64()), pa.array([zlib.crc32(x[2].astype("<u4").tobytes()) for x in own], pa.int64()) if digest else pa.array([x[2].astype("<u4").tobytes() for x in own], pa.binary())], ["doc_id", "start", "n_tokens", last])
 
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +256,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     base = total.select("shard", "block", F.coalesce(before, F.lit(0)).alias("base"))
     # joined to the blocks, not to their documents: broadcast while it is surely small, else dealt by block
     base = F.broadcast(base) if files.count() <= MOST_BLOCKS else base
-    return files.join(base, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(base, ["shard", "block"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
-def digests(read_back: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32."""
-    return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def round_trip(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 2) -> DataFrame:
+def round_trip(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 2, digest: bool = True) -> DataFrame:
     path = shared_dir(df.sparkSession)
     write(df, tokenizer_path, pattern, end_id, path)
-    return read(df.sparkSession, path)
+    return read(df.sparkSession, path, digest)
