@@ -115,7 +115,7 @@ def test_tool_cases(spark):
     assert out[1].accepted and not out[2].accepted and out[2].success and not out[2].vetoed
     assert out[3].vetoed and not out[3].success and "70 km/h" in out[3].output and out[3].output.startswith("[SAFETY VETO] ")
     assert out[5].accepted and not out[6].vetoed and out[7].output == "无效的工具调用: nothing"
-    state = {r.field: r.value for r in tools.state(safety.guarded(df, rules), df.select("vehicle").distinct(), rules).collect()}
+    state = {r.field: r.value for r in tools.state(safety.guarded(df, rules), df.select("vehicle").distinct()).collect()}
     assert len(state) == 45 and state["主驾侧温度（摄氏度）"] == "22" and state["车速"] == "5" and state["车门闭锁"] == "false"
     assert len(tools.RULES) == 47 and sum(map(len, tools.SNAPSHOTS.values())) == 49
 

@@ -87,12 +87,13 @@ def result_text(returned: Column, error: Column) -> Column:
     return F.coalesce(error, returned, F.lit(DONE))
 
 
-def state(accepted: DataFrame, vehicles: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
-    """vehicle, field, value: the last accepted value of each; rejected calls change nothing. With vehicles and rules, fields never set have their defaults."""
+def state(accepted: DataFrame, vehicles: DataFrame | None = None, rules: list[tuple] = RULES) -> DataFrame:
+    """vehicle, field, value: the last accepted value of each; rejected calls change nothing. With vehicles, fields never set have their defaults."""
     last = accepted.filter("accepted and field is not null").groupBy("vehicle", "field").agg(F.max_by("value", F.struct("ts", "ord")).alias("value"))
     if vehicles is None:
         return last
-    seed = vehicles.crossJoin(F.broadcast(rules.filter("field is not null").select("field", "default")))
+    defaults = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(d).alias("default")) for _, f, *_, d in rules if f])
+    seed = vehicles.select("vehicle", F.inline(defaults))
     return seed.join(last, ["vehicle", "field"], "left").select("vehicle", "field", F.coalesce("value", "default").alias("value"))
 
 

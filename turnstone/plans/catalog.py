@@ -281,7 +281,7 @@ def tool_state_last_accepted(spark, d):
     SELECT v.vehicle, '{{"车速":' || coalesce(max(s.value) FILTER (field = '车速'), '70') || '}}' AS speed, '{{"左前门开启":false,"右前门开启":false,"左后门开启":false,"右后门开启":false,"车门闭锁":' || coalesce(max(s.value) FILTER (field = '车门闭锁'), 'false') || '}}' AS door,
     '{{"底盘行驶模式":"普通模式"}}' AS chassis FROM (SELECT DISTINCT vehicle FROM v_tool) v LEFT JOIN s USING (vehicle) GROUP BY v.vehicle""")
 def tool_snapshot_json(spark, d):
-    state = tools.state(_checked(spark, d), v_tool(spark, d).select("vehicle").distinct(), tools.registry(spark))
+    state = tools.state(_checked(spark, d), v_tool(spark, d).select("vehicle").distinct())
     return tools.snapshots(state, ["speed", "door", "chassis"])
 
 
