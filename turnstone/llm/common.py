@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -36,11 +37,44 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame, sweep: bool = True) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more. sweep: let Spark drop the shuffles behind them, too."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if tables and sweep:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()  # shuffle files go when the driver collects what refers to them
+
+
+#: Rows of some numbers or keys up to which they are broadcast (some 20 MB in memory); beyond, they are joined by shuffle.
+MOST_NAMED = 250_000
+
+
+def few(names: DataFrame) -> DataFrame:
+    """names for a join, broadcast if counting shows them to be few."""
+    return F.broadcast(names) if names.limit(MOST_NAMED + 1).count() <= MOST_NAMED else names
+
+
+#: Rows of an Arrow batch: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def key_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs; a null text counts as empty."""
+    small_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
