@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from turnstone.llm import probminhash as p
-from turnstone.llm.shingles import components
+from turnstone.llm.shingles import components, more_links
 
 
 def exact(s, v, t, w):
@@ -37,6 +37,39 @@ def test_estimate_and_exact_similarity():
             assert abs((sig[i] == sig[j]).mean() - x) < 0.06
 
 
+def test_similarities_of_a_block():
+    docs = [p.weighted(t) for t in corpus(4, 12)]
+    got = p.similarities(*zip(*docs))
+    for i in range(len(docs)):
+        for j in range(i):
+            assert abs(got[i, j] - p.probability_jaccard(*docs[i], *docs[j])) < 1e-4
+    none = p.similarities([d[0][:0] for d in docs], [d[1][:0] for d in docs])
+    assert none.shape == (len(docs), len(docs)) and not none.any()
+
+
+def test_open_buckets_are_compared_in_full(spark):
+    """A star whose hub no bucket shows: every pair in one bucket across components is found."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(40):
+        copy = base[:]
+        for _ in range(k // 4):
+            copy[rnd.randrange(120)] = f"x{rnd.randint(0, 9999)}"
+        texts.append(" ".join(copy * (1 + 7 * (k % 5 == 0))))
+    texts = list(dict.fromkeys(texts))
+    docs = [p.weighted(t) for t in texts]
+    keys = [bytes([k]) for k in range(len(texts))]
+    sets = p._sets(spark.createDataFrame(list(zip(keys, texts)), "key binary, text string"), 125)
+    open_ = spark.createDataFrame([(b, k, k) for b in (1, 2) for k in keys], "band long, key binary, label binary")
+    p.BLOCK, old = 7, p.BLOCK
+    try:
+        got = {(r.a[0], r.b[0]) for r in p._across(open_, sets, 0.8, 125).collect()}
+    finally:
+        p.BLOCK = old
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if p.probability_jaccard(*docs[i], *docs[j]) >= 0.8}
+
+
 def brute(texts, threshold=0.8):
     docs = [p.weighted(t or "") for t in texts]
     parent = list(range(len(texts)))
@@ -86,3 +119,5 @@ def test_components(spark):
         parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {int.from_bytes(r.key): int.from_bytes(r.label) for r in components(df).collect()}
     assert got == {x: find(x) for x in list(parent)}
+    two = more_links(components(df.limit(90)), df.subtract(df.limit(90)))
+    assert {int.from_bytes(r.key): int.from_bytes(r.label) for r in two.collect()} == {x: find(x) for x in list(parent) if parent[x] != x or x in got}

@@ -12,12 +12,11 @@ exact probability Jaccard is at least the threshold; classes are the connected
 components of links.
 
 Equal texts are one node, so copies are never compared. No bucket is expanded into
-pairs at first: its members are compared with one hub, chosen by hash, each
+pairs: its members are compared with one hub, that whose buckets are largest in sum, each
 member with the TOP hubs it meets most; then with the member of most links.
-Only where a bucket still holds members of several components are the pairs
-across components compared, unless their signatures differ by more than SIGMAS
-deviations from the threshold. So every pair that shares a bucket is either connected or
-was compared.
+Only buckets that still hold members of several components are compared in full,
+in blocks of BLOCK members, two blocks a task, of which only near pairs leave. So
+every pair that shares a bucket is either connected or was compared.
 
 Size: 25 band rows a document, grouped with partial sums; buckets are joined by
 key, so Spark splits hot ones; shingle sets are kept for documents that share a
@@ -38,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_and_text, slices, stored
-from .shingles import components, mix64, shingle_hashes, text_key, word_hashes
+from .common import discard, few, key_and_text, slices, stored
+from .shingles import components, mix64, more_links, shingle_hashes, text_key, word_hashes
 
 THRESHOLD, BANDS, ROWS = 0.8, 25, 5
 #: Hubs that a document is compared with at first; deviations of the estimate that the last step allows.
 TOP, SIGMAS = 3, 4.0
+#: Members of a block when a bucket is compared in full.
+BLOCK = 256
 
 
 def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +137,18 @@ def _ordered(x: str, y: str) -> list:
 
 def links(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """keyed: key, text. Returns links (a, b, similarity) that connect all near texts, and the labels of their components."""
-    members = stored(_bands(keyed, bands, rows).select(F.explode("bands").alias("band"), "key").distinct())
-    shared = members.groupBy("band").count().filter("count > 1").select("band")
-    members = stored(members.join(shared, "band"))
+    every = stored(_bands(keyed, bands, rows).select(F.explode("bands").alias("band"), "key").distinct())
+    shared = every.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = stored(every.join(shared, "band"))
+    # what a group of near copies was made from is in the largest bucket of most bands: it makes the best hub
+    weight = sized.groupBy("key").agg(F.sum("size").alias("weight"))
+    members = stored(sized.join(weight, "key").select("band", "key", "weight"))
+    discard(every, sized)
     wanted = members.select("key").distinct()
-    sets = stored(_sets(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), bands * rows))
+    sets = stored(_sets(keyed.join(few(stored(wanted)), "key", "left_semi").dropDuplicates(["key"]), bands * rows))
 
     # members with the hub of their bucket that they meet most often
-    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("hub"))).alias("low")).select("band", "low.hub")
+    hubs = members.groupBy("band").agg(F.max(F.struct("weight", F.xxhash64("key").alias("h"), F.col("key").alias("hub"))).alias("top")).select("band", "top.hub")
     met = members.join(hubs, "band").filter("key <> hub").groupBy("key", "hub").count()
     best = Window.partitionBy("key").orderBy(F.desc("count"), "hub")
     tested = stored(met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= TOP).select(*_ordered("key", "hub")).distinct())
@@ -155,28 +160,101 @@ def links(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
     ranked = open_.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "key", "label")).alias("top")).select("band", F.col("top.key").alias("hub"), F.col("top.label").alias("hub_label"))
-    more = open_.join(hubs, "band").filter("label <> hub_label").select(*_ordered("key", "hub")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stored(more)
-    tested = tested.unionByName(more)
-    found = found.unionByName(stored(_verified(more, sets, threshold)))
-    labels = components(found)
-
-    # what is left: pairs across components
-    open_ = _open(members, labels).join(sets.select("key", "sig"), "key")
-    least = int(bands * rows * threshold - SIGMAS * (bands * rows * threshold * (1 - threshold)) ** 0.5)
-    x, y = open_.alias("x"), open_.alias("y")
-    same = F.expr("size(filter(zip_with(x.sig, y.sig, (p, q) -> p = q), e -> e))")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & (same >= least))
-    rest = stored(rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    found = found.unionByName(stored(_verified(rest, sets, threshold)))
-    return found, components(found)
+    met = open_.join(hubs, "band").filter("label <> hub_label").groupBy("key", "hub").count()
+    met = met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= TOP)
+    more = stored(met.select(*_ordered("key", "hub")).distinct().join(tested, ["a", "b"], "left_anti"))
+    second = stored(_verified(more, sets, threshold))
+    discard(open_, sweep=False)
+    labels = more_links(labels, second)
+
+    # what is left: pairs across components, block against block
+    open_ = _open(members, labels)
+    rest = stored(_across(open_, sets, threshold, bands * rows).join(tested.unionByName(more), ["a", "b"], "left_anti"))
+    third = stored(_verified(rest, sets, threshold))
+    out = stored(found.unionByName(second).unionByName(third))
+    labels = more_links(labels, third)
+    discard(members, sets, tested, found, open_, more, second, rest, third)
+    return out, labels
+
+
+#: Weight up to which documents of a block are compared all at once.
+LEVELS = 5
+
+
+def similarities(docs: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """Probability Jaccard of all pairs, from how many elements have each pair of weights, of which there should be few."""
+    weight = np.concatenate(counts)
+    levels = np.unique(weight)
+    ids, place = np.unique(np.concatenate(docs), return_inverse=True)
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    order = np.argsort(place, kind="stable")
+    row, place, weight = row[order], place[order], weight[order]
+    heavy = np.zeros(len(ids), bool)
+    heavy[place[weight > 1]] = True
+    plain = ~heavy[place]
+    n = len(docs)
+    both = np.zeros((n, n), np.float32)
+    for k in range(0, len(ids), 4096):  # elements that weigh 1 wherever they are, a part at a time
+        lo, hi = np.searchsorted(place, [k, k + 4096])
+        use = np.flatnonzero(plain[lo:hi]) + lo
+        part = np.zeros((n, 4096), np.float32)
+        part[row[use], place[use] - k] = 1
+        both += part @ part.T
+    size = np.bincount(row[plain], minlength=n).astype(np.float32)
+    column = np.cumsum(heavy) - 1
+    dense = np.zeros((n, int(heavy.sum())), np.int64)
+    dense[row[~plain], column[place[~plain]]] = weight[~plain]
+    levels = np.unique(np.r_[1, levels])
+    own = {a: (dense == a).astype(np.float32) for a in (0, *levels)}
+    met = {(a, b): own[a] @ own[b].T for a in own for b in own if a or b}
+    met[1, 1] = met[1, 1] + both
+    met[1, 0] = met[1, 0] + size[:, None] - both
+    met[0, 1] = met[0, 1] + size[None] - both
+    out = np.zeros((n, n))
+    for a in levels:
+        for b in levels:
+            if met[a, b].any():
+                out += met[a, b] / np.maximum(sum(m * max(x / a, y / b) for (x, y), m in met.items()), 1e-9)
+    return out
+
+
+def _across(open_: DataFrame, sets: DataFrame, threshold: float, m: int) -> DataFrame:
+    """a, b: pairs of different components in one bucket that may be near. A bucket is split into blocks of about BLOCK members; a task sees two blocks and returns only what it finds."""
+    least = int(m * threshold - SIGMAS * (m * threshold * (1 - threshold)) ** 0.5)
+    sized = open_.join(open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band")
+    own = F.pmod(F.xxhash64(F.lit(5), "key"), F.col("blocks"))
+    dealt = sized.withColumn("own", own).select("band", "key", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "key", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    dealt = dealt.join(sets.select("key", "set", "weights", "sig"), "key")
+
+    def near(table: pa.Table) -> pa.Table:
+        keys, labels = (table.column(c).to_pylist() for c in ("key", "label"))
+        docs = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        counts = [np.frombuffer(w, "<u4").astype(np.int64) if w else np.ones(len(d), np.int64) for w, d in zip(table.column("weights").to_pylist(), docs)]
+        left, right = (np.array(table.column(c).to_pylist(), bool) for c in ("left", "right"))
+        name = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
+        allowed = (name[:, None] != name[None]) & left[:, None] & right[None]
+        odd = np.array([c.max() > LEVELS for c in counts])
+        hit = similarities([d[:0] if o else d for d, o in zip(docs, odd)], [c[:0] if o else c for c, o in zip(counts, odd)]) >= threshold - 1e-4
+        if odd.any():  # each of these alone, with those whose signatures come near
+            sig = np.array(table.column("sig").to_pylist(), np.int16)
+            for x in np.flatnonzero(odd):
+                for y in np.flatnonzero(((sig == sig[x]).sum(1) >= least) & (allowed[x] | allowed[:, x])):
+                    hit[x, y] = hit[y, x] = probability_jaccard(docs[x], counts[x], docs[y], counts[y]) >= threshold
+        hit &= allowed
+        pairs = {(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(*np.nonzero(hit))}
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(near, "a binary, b binary").distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """band, key, label of the members of buckets with several components."""
     own = stored(members.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
     several = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    return stored(own.join(several, "band"))
+    out = stored(own.join(several, "band"))
+    discard(own, sweep=False)
+    return out
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,7 +279,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     winner = winner.join(equal, "label").select("label", F.col("w.key").alias("win_key"), F.col("w.doc_id").alias("win_id"), "copies")
     fate = made.filter("class_size > 1").select("key", "label").distinct().join(winner, "label").select(F.col("key").alias("_key"), (F.col("key") == F.col("win_key")).alias("_wins"), F.col("win_id").alias("_id"), F.col("copies").alias("_copies"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(id_col).cast("long").alias("_doc"))
-    judged = rows.join(fate, "_key", "left").filter(F.col("_wins").isNull() | (F.col("_wins") & F.col("_doc").eqNullSafe(F.col("_id"))))
+    judged = rows.join(few(stored(fate)), "_key", "left").filter(F.col("_wins").isNull() | (F.col("_wins") & F.col("_doc").eqNullSafe(F.col("_id"))))
     single = judged.filter(F.coalesce("_copies", F.lit(1)) == 1).select("row.*")
     repeated = judged.filter("_copies > 1").dropDuplicates(["_key"]).select("row.*")
     return single.unionByName(repeated)

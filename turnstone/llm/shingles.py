@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 #: Words of a shingle.
 WIDTH = 5
@@ -50,16 +50,37 @@ def text_key(text: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns key, label: the least key that each linked key is connected with.
 
-    Least labels of neighbours and of labels are taken in turn until none
-    changes; each turn is written to the shared folder.
+    Each turn points every key to its least neighbour's least neighbour and
+    contracts the links to what they point to; so links vanish in a few turns,
+    each of which is written to the shared folder.
     """
-    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = stored(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("label")))
+    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    labels = None
     while True:
-        near = edges.join(labels.withColumnRenamed("key", "v"), "v").groupBy("u").agg(F.min("label").alias("low"))
-        step = labels.join(near.withColumnRenamed("u", "key"), "key").select("key", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        roots = step.select(F.col("key").alias("label"), F.col("label").alias("root"))
-        moved = stored(step.join(roots, "label").select("key", "old", F.least("label", "root").alias("label")))
-        labels = moved.select("key", "label")
-        if moved.filter("old <> label").isEmpty():
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("label"))
+        roots = near.select(F.col("key").alias("label"), F.col("label").alias("root"))
+        turn = stored(near.join(roots, "label").select("key", F.col("root").alias("label")))
+        end = lambda c: turn.select(F.col("key").alias(c), F.col("label").alias(f"{c}_to"))  # noqa: B023, E731
+        left = stored(edges.join(end("u"), "u").join(end("v"), "v").filter("u_to <> v_to").select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
+        labels = turn if labels is None else stored(_through(labels, turn))
+        discard(edges, sweep=False)
+        if left.isEmpty():
+            discard(left, sweep=False)
             return labels
+        edges = left
+
+
+def _through(labels: DataFrame, turn: DataFrame) -> DataFrame:
+    """key, label with each label replaced by what turn (key, label) points it to."""
+    to = turn.select(F.col("key").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+
+
+def more_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of labels with further links: only these are followed."""
+    end = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_to"))
+    ends = links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    turn = components(ends.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")))
+    new = links.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(labels, "key", "left_anti").select("key", F.col("key").alias("label"))
+    return stored(_through(labels.unionByName(new), turn))
