@@ -258,7 +258,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key (of its text), class_id (the least doc_id of its class), class_size, n_links (of its text in the links found) of each row."""
+    """doc_id, key (of its text), class_id (the least doc_id of its class), class_size, n_links (of its text in the links found, which aren't all its near texts) of each row."""
     keyed = key_and_text(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
     found, labels = links(keyed, threshold, bands, rows)
     slim = keyed.select("doc_id", "key")
