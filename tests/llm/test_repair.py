@@ -47,3 +47,11 @@ def test_files(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repair.round_trip(df, JSON, public_tokenizers.PATTERN).count() == 0
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    one = np.random.default_rng(1).integers(0, 60000, 300)
+    ids, ends = np.tile(one, 1000), np.arange(1, 1001) * 300
+    seq, own_ends, rules = repair.grammar(ids, ends)
+    assert len(seq) == 1000 and own_ends.tolist() == list(range(1, 1001))
+    assert (repair.expand(seq, *repair.expansions(rules)) == ids).all()

@@ -4,7 +4,7 @@ Documents are put in ascending order of their id (nulls first, equal ids by
 their token ids) and written as blocks. A block has a grammar of its own:
 in rounds, the most frequent pairs of neighbouring symbols get nonterminals and
 are replaced wherever they stand, left to right without overlap, until no pair
-is frequent enough. A pair never spans two documents, so a document is a
+is frequent enough (24 times in the block). A pair never spans two documents, so a document is a
 range of symbols; the block stores its rules, the length each symbol expands to
 and the place of each document, so that one document can be decoded alone.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from .common import key_and_text, shared_dir, slices
 BASE = 1 << 16
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK = 2_000_000
-#: Pairs replaced in a round, rounds, and the least count of a pair worth a rule.
-PAIRS, ROUNDS, LEAST = 4096, 4, 24
+#: Pairs replaced in a round, and the least count of a pair worth a rule.
+PAIRS, LEAST = 4096, 24
 #: Encoded pieces that a task remembers: the first ones met, which are the most frequent.
 CACHE = 1_500_000
 
@@ -86,16 +87,16 @@ class Encoder:
         return out
 
 
-def grammar(symbols: np.ndarray, ends: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grammar(symbols: np.ndarray, ends: np.ndarray, pairs: int = PAIRS, rounds: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replaced symbols, where each document ends among them, and the rules (n x 2).
 
-    ends: where each document, none of them empty, ends in symbols.
+    ends: where each document, none of them empty, ends in symbols. rounds: at most so many; None goes on until no pair is frequent enough.
     """
     seq, rules = symbols.astype(np.int64), [np.empty((0, 2), np.int64)]
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     made = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         keys = (seq[:-1] << 32) | seq[1:]
