@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Categories and thresholds that results must match.
 CATEGORIES = ["preference", "fact", "habit", "rule"]
 LEAST_CONFIDENCE, DEFAULT_CONFIDENCE = 0.3, 0.5
+# What error texts call the types of JSON values.
+JAVA_TYPES = {"BIGINT": "java.lang.Integer", "DECIMAL": "java.lang.Double", "DOUBLE": "java.lang.Double", "BOOLEAN": "java.lang.Boolean", "STRING": "java.lang.String", "VOID": "org.json.JSONObject$1", "OBJECT": "org.json.JSONObject", "ARRAY": "org.json.JSONArray"}
 
 
 def strip_fences(text: Column) -> Column:
@@ -39,16 +41,49 @@ def candidates(df: DataFrame, output: str = "model_output") -> DataFrame:
     return out.filter((F.col("key_text") != "") & (F.col("value_text") != "") & (F.col("confidence") >= LEAST_CONFIDENCE))
 
 
+def _at(arguments: Column, position: int) -> Column:
+    return F.try_variant_get(F.try_parse_json(arguments), f"$.arg{position}", "variant")
+
+
 def argument(arguments: Column, position: int = 0) -> Column:
-    return F.get_json_object(arguments, f"$.arg{position}")
+    """The argument as text; JSON null is the text null. SQL null where there is none."""
+    return F.when(_at(arguments, position).isNotNull(), F.coalesce(F.get_json_object(arguments, f"$.arg{position}"), F.lit("null")))
 
 
-def int_argument(arguments: Column, position: int = 0) -> Column:
-    return argument(arguments, position).try_cast("int")
+def argument_kind(arguments: Column, position: int = 0) -> Column:
+    """BOOLEAN, STRING, VOID (JSON null), BIGINT, DECIMAL, DOUBLE, OBJECT or ARRAY."""
+    return F.regexp_extract(F.schema_of_variant(_at(arguments, position)), "^[A-Z]+", 0)
 
 
 def bool_argument(arguments: Column, position: int = 0) -> Column:
-    return argument(arguments, position).try_cast("boolean")
+    """Of a boolean, or of the text true or false in any case; null for all else, numbers too."""
+    kind, low = argument_kind(arguments, position), F.lower(argument(arguments, position))
+    return F.when(kind.isin("BOOLEAN", "STRING") & low.isin("true", "false"), low == "true")
+
+
+def int_argument(arguments: Column, position: int = 0) -> Column:
+    """Of a number or a text that reads as one: fractions are cut off, what is too large becomes the largest; whole numbers wrap at 32 bits."""
+    kind, raw = argument_kind(arguments, position), argument(arguments, position)
+    low = raw.try_cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    wrapped = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+    real = raw.try_cast("double")
+    cut = F.when(F.isnan(real), 0).when(real.isNotNull(), F.greatest(F.least(real, F.lit(2.0**31 - 1)), F.lit(-(2.0**31)))).cast("int")
+    return F.when(kind == "BIGINT", wrapped).when(kind.isin("STRING", "DECIMAL", "DOUBLE"), cut)
+
+
+def unreadable(arguments: Column) -> Column:
+    """What parsing says of arguments that are no JSON object, else null."""
+    kind = F.schema_of_variant(F.try_parse_json(arguments))
+    java = F.when(kind.startswith("ARRAY"), F.lit("org.json.JSONArray")).otherwise(F.lit("java.lang.String"))
+    return F.when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), F.concat(F.lit("Value "), F.coalesce(arguments, F.lit("null")), F.lit(" of type "), java, F.lit(" cannot be converted to JSONObject")))
+
+
+def mistyped(arguments: Column, wanted: Column, position: int = 0) -> Column:
+    """What coercing says of an argument that is no wanted (boolean or int)."""
+    kind, raw = argument_kind(arguments, position), argument(arguments, position)
+    java = F.create_map(*[F.lit(x) for kv in JAVA_TYPES.items() for x in kv])
+    named = F.when((kind == "BIGINT") & raw.try_cast("int").isNull(), F.lit("java.lang.Long")).otherwise(F.element_at(java, kind))
+    return F.concat(F.lit("Value "), raw, F.lit(f" at arg{position} of type "), named, F.lit(" cannot be converted to "), wanted)
 
 
 def missing_argument(arguments: Column, method: Column, position: int = 0) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 PHONE = r"((?:\+86)?1[3-9]\d)\d{4}(\d{4})"
 IMAGE_SIGNS = ["/9j/", "iVBOR", "base64", "Base64"]
 TEXT_LIMIT, ARGUMENT_LIMIT, RESULT_LIMIT, IMAGE_KEEP = 500, 200, 200, 100
-CUT, CUT_IMAGE, CUT_PLAIN = "… (truncated)", "… (base64 truncated)", "... (truncated)"
+CUT, CUT_IMAGE, CUT_PLAIN, CUT_VOICE = "… (truncated)", "… (base64 truncated)", "... (truncated)", "…"
+PHONE_SPAN = 14
 FORMAT_LIMIT, FORMAT_LEAST, LINE_LIMIT = 1000, 20, 80
 CATEGORY_LABELS = {"preference": "用户偏好", "fact": "已知事实", "habit": "行为习惯", "rule": "用户规则"}
 VISION_WARNING = "（该响应仅对本次前向视野互动有效，对后续前向视野互动意图属于无效的记忆，必须重新调用摄像头数据识别工具！）"
@@ -27,12 +28,23 @@ def cut(text: Column, limit: int, suffix: str) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(suffix))).otherwise(text)
 
 
+def masked_cut(text: Column, limit: int, suffix: str) -> Column:
+    """cut() of the masked text. Masking keeps the length, so only what the cut leaves is masked, and as much more as a number that begins there can take."""
+    head = mask_phones(F.substring(text, 1, limit + PHONE_SPAN))
+    return F.when(F.length(text) > limit, F.concat(F.substring(head, 1, limit), F.lit(suffix))).otherwise(head)
+
+
 def redact_user_input(text: Column) -> Column:
-    return cut(mask_phones(text), TEXT_LIMIT, CUT)
+    return masked_cut(text, TEXT_LIMIT, CUT)
 
 
 def redact_result(text: Column) -> Column:
-    return cut(mask_phones(text), RESULT_LIMIT, CUT)
+    return masked_cut(text, RESULT_LIMIT, CUT)
+
+
+def voice_input(text: Column) -> Column:
+    """What the root span of a persona keeps of an input: cut, not masked; null for none."""
+    return F.when(text != "", cut(text, TEXT_LIMIT, CUT_VOICE))
 
 
 def redact_arguments(text: Column) -> Column:
@@ -40,7 +52,7 @@ def redact_arguments(text: Column) -> Column:
     image = F.lit(False)
     for sign in IMAGE_SIGNS:
         image = image | text.contains(sign)
-    return F.when((F.length(text) > ARGUMENT_LIMIT) & image, F.concat(F.substring(text, 1, IMAGE_KEEP), F.lit(CUT_IMAGE))).otherwise(cut(mask_phones(text), ARGUMENT_LIMIT, CUT))
+    return F.when((F.length(text) > ARGUMENT_LIMIT) & image, F.concat(F.substring(text, 1, IMAGE_KEEP), F.lit(CUT_IMAGE))).otherwise(masked_cut(text, ARGUMENT_LIMIT, CUT))
 
 
 def captured(text: Column, kind: Column, mode: Column) -> Column:
@@ -112,7 +124,7 @@ def status_text(message: Column, error_type: Column) -> Column:
 
 
 def elapsed_ms(start_ns: Column, end_ns: Column) -> Column:
-    return F.floor((end_ns - start_ns) / 1_000_000).cast("long")
+    return F.call_function("div", end_ns - start_ns, F.lit(1_000_000))
 
 
 def http_error(status: Column) -> Column:

@@ -65,3 +65,21 @@ def surviving(writes: DataFrame, deletes: DataFrame) -> DataFrame:
     everything = deletes.filter("key_text is null").groupBy("user_id").agg(F.max(F.struct("ts", "ord")).alias("d"))
     kept = last.join(everything, "user_id", "left").filter(F.col("d").isNull() | (F.struct("w.ts", "w.ord") > F.col("d")))
     return kept.select("user_id", "key_text", "w.value_text")
+
+
+def extracted(turns: DataFrame, answers: DataFrame) -> DataFrame:
+    """Memory writes (user_id, category, key_text, value_text, confidence, ts, ord) from turns (turn_id, user_id, user_message, ts) and what a model made of them (turn_id, model_output).
+
+    Turns without a user's message are never sent to the model, so an answer to one counts for nothing. ord tells the candidates of one turn apart.
+    """
+    asked = turns.filter(F.coalesce("user_message", F.lit("")) != "").select("turn_id", "user_id", "ts")
+    made = jsonx.candidates(asked.join(answers, "turn_id"))
+    return made.select("user_id", "category", "key_text", "value_text", "confidence", "ts", F.struct("turn_id", "pos").alias("ord"))
+
+
+def turn_completed(turns: DataFrame, answers: DataFrame, conversations: DataFrame, summaries: DataFrame, rule=None) -> tuple[DataFrame, DataFrame]:
+    """What the end of turns leaves: the memories upserted from them, and the conversations (memory_id, pos, type, text) compacted where the rule asks for it."""
+    from . import messages
+
+    rule = rule or messages.Compaction()
+    return upsert(extracted(turns, answers)), messages.compacted(conversations, messages.plan(conversations, rule), summaries, rule)

@@ -15,9 +15,8 @@ REASON = ("出于安全考虑，车速 ", " km/h 时不允许解锁车门。请
 
 
 def door_guard(name: Column, arguments: Column, speed: Column) -> Column:
-    """Unlocking is vetoed above MOST_SPEED. An argument that is missing counts as locking; one that can't be read lets the call pass."""
-    lock = F.when(jsonx.argument(arguments).isNull(), F.lit(True)).otherwise(jsonx.bool_argument(arguments))
-    return F.when((name == "set_door_lock") & ~F.coalesce(lock, F.lit(True)) & (speed > MOST_SPEED), F.concat(F.lit(REASON[0]), speed.cast("string"), F.lit(REASON[1])))
+    """Unlocking is vetoed above MOST_SPEED. Only a false that is a boolean or its text unlocks: what is missing, of another type or unreadable lets the call pass."""
+    return F.when((name == tools.DOOR_LOCK) & ~F.coalesce(jsonx.bool_argument(arguments), F.lit(True)) & (speed > MOST_SPEED), F.concat(F.lit(REASON[0]), speed.cast("string"), F.lit(REASON[1])))
 
 
 def chain(*reasons: Column) -> Column:
@@ -29,15 +28,22 @@ def allow_all() -> Column:
     return F.lit(None).cast("string")
 
 
-def guarded(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Calls (vehicle, ts, ord, name, arguments) with the speed as of each, veto_reason, vetoed, and what their results say: vetoed calls don't run."""
+def guarded(calls: DataFrame, rules: DataFrame, doors: DataFrame | None = None) -> DataFrame:
+    """Calls (vehicle, ts, ord, name, arguments) with the speed as of each, veto_reason, vetoed, and what their results say: vetoed calls don't run.
+
+    doors: vehicle, ts, ord, field, open; without them all doors are shut.
+    """
     done = tools.checked(tools.looked_up(calls, rules))
     speeds = done.filter("name = 'set_vehicle_spd' and accepted").select("vehicle", "ts", "ord", F.col("value").cast("int").alias("speed"))
     out = tools.as_of(done, speeds, "speed", F.lit(DEFAULT_SPEED))
+    stands = None
+    if doors is not None:
+        out, stands = tools.refused(out, doors), F.col("door_open")
     out = out.withColumn("veto_reason", chain(door_guard(F.col("name"), F.col("arguments"), F.col("speed")))).withColumn("vetoed", F.col("veto_reason").isNotNull())
     out = out.withColumn("accepted", F.col("accepted") & ~F.col("vetoed"))
     # success means that no guard stopped the call: a value out of range is a success, too
-    return out.withColumn("success", ~F.col("vetoed")).withColumn("output", F.when(F.col("vetoed"), F.concat(F.lit(VETO), F.col("veto_reason"))).otherwise(tools.result_text(F.lit(None).cast("string"), F.col("error"))))
+    said = tools.result_text(tools.reply(stands), F.col("error"))
+    return out.withColumn("success", ~F.col("vetoed")).withColumn("output", F.when(F.col("vetoed"), F.concat(F.lit(VETO), F.col("veto_reason"))).otherwise(said))
 
 
 def iterations(calls: DataFrame, *key: str) -> DataFrame:

@@ -58,14 +58,16 @@ def whitelist(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, t) for s, ts in SCENE_TOOLS.items() for t in ts], "scene string, name string")
 
 
-def tools_of(rules: DataFrame, allowed: DataFrame, scene: str) -> DataFrame:
-    """Tools that a scene may use; none for a scene without a whitelist."""
-    return rules.join(F.broadcast(allowed.filter(F.col("scene") == scene)), "name", "left_semi")
+def tools_of(rules: DataFrame, allowed: DataFrame, scene: str | None = None) -> DataFrame:
+    """Tools that a scene may use, none for a scene without a whitelist; without a scene, a row for each scene and tool of it. Spark broadcasts by size."""
+    if scene is None:
+        return allowed.join(rules, "name", "left_semi")
+    return rules.join(allowed.filter(F.col("scene") == scene), "name", "left_semi")
 
 
 def missing_tools(allowed: DataFrame, rules: DataFrame) -> DataFrame:
     """Whitelisted names that no tool has."""
-    return allowed.join(F.broadcast(rules), "name", "left_anti")
+    return allowed.join(rules, "name", "left_anti")
 
 
 def optional_subset(rules: DataFrame, names: list[str] | None) -> DataFrame:

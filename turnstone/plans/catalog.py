@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
-from ..operators import memory, messages, properties, requests, safety, scenes, sessions, spans, tools
-from ..sources.tables import load, time_sql, time_text, v_frame, v_mem, v_msg, v_session, v_tool, with_views
+from ..operators import memory, messages, personas, properties, requests, safety, scenes, sessions, spans, tools
+from ..sources.tables import load, time_sql, time_text, v_chat, v_frame, v_mem, v_msg, v_session, v_tool, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,11 +74,12 @@ def memory_prompt_text(spark, d):
 
 
 @query(rf"""WITH {_TOP}, g AS (SELECT user_id, min(rank) AS fr, chr(10) || {_map_sql("category", text.CATEGORY_LABELS, "category")} || '：' || coalesce(string_agg(chr(10) || '  · ' || value_text, '' ORDER BY rank) FILTER (confidence >= 0.5), '') AS t FROM top GROUP BY user_id, category),
-    p AS (SELECT user_id, chr(10) || chr(10) || '【长期记忆】' || string_agg(t, '' ORDER BY fr) AS pt FROM g WHERE user_id % 2 = 0 GROUP BY user_id)
-    SELECT b.user_id, 'base ' || b.user_id || coalesce(chr(10) || pt, '') AS prompt FROM (SELECT DISTINCT user_id FROM v_mem) b LEFT JOIN p USING (user_id)""")
+    p AS (SELECT user_id, chr(10) || chr(10) || '【长期记忆】' || string_agg(t, '' ORDER BY fr) AS pt FROM g GROUP BY user_id)
+    SELECT b.user_id, 'base ' || b.user_id || coalesce(chr(10) || pt, '') AS prompt FROM (SELECT user_id FROM v_mem UNION SELECT c_custkey FROM customer) b LEFT JOIN p USING (user_id)""")
 def memory_prepared_prompt(spark, d):
-    base = v_mem(spark, d).select("user_id").distinct().select("user_id", F.concat(F.lit("base "), F.col("user_id").cast("string")).alias("body"))
-    return memory.prepared_prompt(base, memory.prompt_text(_top(spark, d).filter("user_id % 2 = 0")))
+    users = v_mem(spark, d).select("user_id").union(load(spark, d, "customer").select("c_custkey")).distinct()
+    base = users.select("user_id", F.concat(F.lit("base "), F.col("user_id").cast("string")).alias("body"))
+    return memory.prepared_prompt(base, memory.prompt_text(_top(spark, d)))
 
 
 @query("""WITH w AS (SELECT user_id, key_text, max(row(ts, ord)) AS last FROM v_mem WHERE event_type <> 'click' GROUP BY ALL)
@@ -193,6 +194,22 @@ def msg_pack_round_trip(spark, d):
     return packed_messages(packed).select("memory_id", "seq", "type", "text")
 
 
+_CALLED = "len(calls) > 0"
+
+
+@query(rf"""SELECT memory_id, seq, CASE type WHEN 'system' THEN 'system:' || text WHEN 'user' THEN 'user:' || text WHEN 'ai' THEN CASE WHEN {_CALLED} THEN 'assistant_tool_calls:' || array_to_string(calls, ', ') ELSE 'assistant:' || coalesce(text, '') END WHEN 'tool' THEN 'tool:' || tool_name || ':' || text END AS formatted,
+    CASE type WHEN 'user' THEN '用户：' || text WHEN 'ai' THEN CASE WHEN length(text) > 0 THEN 'AI：' || text WHEN {_CALLED} THEN 'AI：调用了工具 ' || calls[1] END WHEN 'tool' THEN '工具[' || tool_name || ']：' || CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END END AS line FROM v_chat""")
+def msg_format_tools(spark, d):
+    parts = F.col("type"), F.col("text"), F.col("tool_name"), F.col("calls")
+    return v_chat(spark, d).select("memory_id", "seq", text.format_message(*parts).alias("formatted"), text.summary_line(*parts).alias("line"))
+
+
+@query("SELECT c.memory_id, c.seq, c.call_id, r.text AS result FROM v_chat c LEFT JOIN v_chat r ON r.call_id = c.call_id AND r.type = 'tool' WHERE c.type = 'ai' AND c.call_id IS NOT NULL")
+def msg_call_results(spark, d):
+    m = v_chat(spark, d)
+    return messages.with_results(m.filter("type = 'ai' and call_id is not null").drop("text"), m.filter("type = 'tool'")).select("memory_id", "seq", "call_id", "result")
+
+
 # ---- sessions
 
 _SESSION = """c AS (SELECT *, min(CASE WHEN action = 'create' THEN row(ts, ord) END) OVER (PARTITION BY user_id, session_id) AS c FROM v_session),
@@ -215,6 +232,12 @@ def session_recent_k(spark, d):
     return sessions.recent(sessions.lifecycle(v_session(spark, d)), 3).select("user_id", "session_id", "nth")
 
 
+@query(f"""WITH {_SESSION}, m AS (SELECT user_id, 'S_' || strftime(ts, '%Y%m%d') AS session_id, event_id AS seq, event_type AS type FROM events WHERE event_type IN ('view', 'click')) SELECT user_id, session_id, seq, type, ended_at IS NULL AS is_active FROM life JOIN m USING (user_id, session_id)""")
+def session_messages(spark, d):
+    said = load(spark, d, "events").filter("event_type in ('view', 'click')").select("user_id", F.concat(F.lit("S_"), F.date_format("ts", "yyyyMMdd")).alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"))
+    return sessions.messages_of(sessions.lifecycle(v_session(spark, d)), said).select("user_id", "session_id", "seq", "type", "is_active")
+
+
 @query("SELECT user_id, session_id, count(*) AS message_count, (sum(length(value_text)) // 2)::BIGINT AS token_estimate FROM (SELECT user_id, 'S_' || strftime(ts, '%Y%m%d') AS session_id, value_text FROM v_mem) GROUP BY user_id, session_id")
 def session_stats(spark, d):
     m = v_mem(spark, d).select("user_id", F.concat(F.lit("S_"), F.date_format("ts", "yyyyMMdd")).alias("session_id"), F.lit("user").alias("type"), F.col("value_text").alias("text"))
@@ -230,12 +253,24 @@ def clear_epoch(spark, d):
 
 # ---- tools and safety
 
-_RULES = "rules(name, field, kind, lo, hi) AS (VALUES " + ", ".join(f"({_q(t)}, {_q(f) if f else 'NULL'}, {_q(k)}, {lo if lo is not None else 'NULL'}, {hi if hi is not None else 'NULL'})" for t, f, k, lo, hi, _, _ in tools.RULES) + ")"
-_CHECK = rf"""{_RULES}, a AS (SELECT v.*, field, kind, lo, hi, v.arguments->>'$.arg0' AS raw FROM v_tool v LEFT JOIN rules USING (name)),
-    b AS (SELECT *, try_cast(raw AS INTEGER) AS num, CASE WHEN lower(raw) IN ('t', 'true', 'y', 'yes', '1') THEN true WHEN lower(raw) IN ('f', 'false', 'n', 'no', '0') THEN false END AS flag FROM a),
-    v AS (SELECT *, CASE kind WHEN 'range' THEN num::VARCHAR WHEN 'bool' THEN flag::VARCHAR ELSE raw END AS value,
-          coalesce(CASE WHEN kind IS NULL THEN '无效的工具调用: ' || name END, CASE WHEN raw IS NULL THEN '缺少参数: arg0 (方法: ' || name || ')' END, CASE WHEN (kind = 'range' AND num IS NULL) OR (kind = 'bool' AND flag IS NULL) THEN '工具执行失败: ' || raw END) AS error FROM b),
-    checked AS (SELECT *, error IS NULL AND coalesce(CASE kind WHEN 'range' THEN num BETWEEN lo AND hi WHEN 'bool' THEN flag IS NOT NULL ELSE kind IS NOT NULL END, false) AS accepted FROM v)"""
+_n = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "[" + ", ".join(map(_q, x)) + "]" if isinstance(x, list) else _q(x)
+_RULES = "rules(nth, name, field, kind, lo, hi, allowed, method, ok, off, bad, bad_end) AS (VALUES " + ", ".join(f"({k}, " + ", ".join(map(_n, (*r[:6], *r[7:]))) + ")" for k, r in enumerate(tools.RULES)) + ")"
+_JAVA = "CASE jt WHEN 'UBIGINT' THEN 'java.lang.Integer' WHEN 'BIGINT' THEN 'java.lang.Integer' WHEN 'DOUBLE' THEN 'java.lang.Double' WHEN 'BOOLEAN' THEN 'java.lang.Boolean' WHEN 'VARCHAR' THEN 'java.lang.String' WHEN 'NULL' THEN 'org.json.JSONObject$1' END"
+
+
+def _check_sql(calls: str) -> str:
+    """Arguments as the lenient JSON library takes them: booleans or their texts, numbers or texts that read as one, fractions cut off."""
+    return rf"""a AS (SELECT v.*, nth, field, kind, lo, hi, allowed, method, ok, off, bad, bad_end, json_valid(v.arguments) AS valid, CASE WHEN json_valid(v.arguments) THEN json_type(v.arguments, '$.arg0') END AS jt,
+          CASE WHEN json_valid(v.arguments) THEN coalesce(v.arguments->>'$.arg0', CASE WHEN json_type(v.arguments, '$.arg0') = 'NULL' THEN 'null' END) END AS raw FROM {calls} v LEFT JOIN rules USING (name)),
+    b AS (SELECT *, CASE WHEN jt IN ('BIGINT', 'UBIGINT') THEN try_cast(raw AS INTEGER) WHEN jt IN ('VARCHAR', 'DOUBLE') THEN trunc(try_cast(raw AS DOUBLE))::INTEGER END AS num, CASE WHEN jt IN ('BOOLEAN', 'VARCHAR') AND lower(raw) IN ('true', 'false') THEN lower(raw) = 'true' END AS flag FROM a),
+    t AS (SELECT *, CASE kind WHEN 'range' THEN num::VARCHAR WHEN 'bool' THEN flag::VARCHAR ELSE raw END AS value,
+          CASE WHEN raw IS NULL THEN '缺少参数: arg0 (方法: ' || coalesce(method, name) || ')' END AS missing, CASE WHEN NOT valid THEN 'Value ' || arguments || ' of type java.lang.String cannot be converted to JSONObject' END AS unreadable,
+          CASE WHEN (kind = 'range' AND num IS NULL) OR (kind = 'bool' AND flag IS NULL) THEN 'Value ' || raw || ' at arg0 of type ' || {_JAVA} || ' cannot be converted to ' || CASE kind WHEN 'bool' THEN 'boolean' ELSE 'int' END END AS wrong FROM b),
+    v AS (SELECT *, coalesce(CASE WHEN kind IS NULL THEN '无效的工具调用: ' || name END, '工具执行失败: ' || coalesce(unreadable, missing, wrong)) AS error, coalesce(CASE kind WHEN 'range' THEN num BETWEEN lo AND hi WHEN 'enum' THEN list_contains(allowed, value) ELSE kind IS NOT NULL END, false) AS fits FROM t),
+    checked AS (SELECT *, error IS NULL AND fits AS accepted, CASE WHEN fits THEN CASE kind WHEN 'bool' THEN CASE WHEN value = 'true' THEN ok ELSE off END WHEN 'enum' THEN ok || value ELSE ok END ELSE bad || value || bad_end END AS reply FROM v)"""
+
+
+_CHECK = f"{_RULES}, {_check_sql('v_tool')}"
 
 
 def _checked(spark, d, calls: DataFrame | None = None):
@@ -247,10 +282,11 @@ def tool_lookup(spark, d):
     return tools.looked_up(v_tool(spark, d), tools.registry(spark)).select("ord", "name", "kind", tools.result_text(F.lit(None).cast("string"), F.col("lookup_error")).alias("result"))
 
 
-@query(f"WITH {_CHECK} SELECT ord, coalesce(num, -1)::INTEGER AS int_arg, CASE WHEN raw IS NULL THEN '缺少参数: arg0 (方法: ' || name || ')' END AS error FROM checked")
+@query(f"WITH {_CHECK} SELECT ord, num AS int_arg, flag AS bool_arg, raw AS text_arg, coalesce(unreadable, missing) AS failure FROM checked")
 def tool_arg_resolve(spark, d):
-    c = v_tool(spark, d)
-    return c.select("ord", F.coalesce(jsonx.int_argument(F.col("arguments")), F.lit(-1)).alias("int_arg"), jsonx.missing_argument(F.col("arguments"), F.col("name")).alias("error"))
+    c, given = tools.looked_up(v_tool(spark, d), tools.registry(spark)), F.col("arguments")
+    failure = F.coalesce(jsonx.unreadable(given), jsonx.missing_argument(given, F.coalesce("method", "name")))
+    return c.select("ord", jsonx.int_argument(given).alias("int_arg"), jsonx.bool_argument(given).alias("bool_arg"), jsonx.argument(given).alias("text_arg"), failure.alias("failure"))
 
 
 @query(f"WITH {_CHECK} SELECT ord, name, value, error, accepted FROM checked WHERE kind = 'range'")
@@ -299,7 +335,7 @@ def tool_last_registered(spark, d):
 
 _GUARD = rf"""{_CHECK}, u AS (SELECT *, CASE WHEN name = 'set_vehicle_spd' AND accepted THEN num END AS spd FROM checked),
     g AS (SELECT *, coalesce(last_value(spd IGNORE NULLS) OVER (PARTITION BY vehicle ORDER BY ts, ord ROWS UNBOUNDED PRECEDING), 70) AS speed FROM u),
-    vetoes AS (SELECT *, CASE WHEN name = 'set_door_lock' AND raw IS NOT NULL AND flag = false AND speed > 5 THEN '出于安全考虑，车速 ' || speed || ' km/h 时不允许解锁车门。请先停车。' END AS veto_reason FROM g)"""
+    vetoes AS (SELECT *, CASE WHEN name = 'set_door_lock' AND flag = false AND speed > 5 THEN '出于安全考虑，车速 ' || speed || ' km/h 时不允许解锁车门。请先停车。' END AS veto_reason FROM g)"""
 
 
 @query(f"WITH {_GUARD} SELECT ord, vehicle, speed, veto_reason IS NOT NULL AS vetoed, veto_reason FROM vetoes WHERE name = 'set_door_lock'")
@@ -314,11 +350,57 @@ def guard_all_vetoed(spark, d):
     return safety.iterations(calls, "vehicle", "day")
 
 
-@query(f"WITH {_GUARD} SELECT ord, accepted AND veto_reason IS NULL AS accepted, veto_reason IS NULL AS success, CASE WHEN veto_reason IS NOT NULL THEN '[SAFETY VETO] ' || veto_reason ELSE coalesce(error, 'Success') END AS output FROM vetoes")
+@query(f"WITH {_GUARD} SELECT ord, accepted AND veto_reason IS NULL AS accepted, veto_reason IS NULL AS success, CASE WHEN veto_reason IS NOT NULL THEN '[SAFETY VETO] ' || veto_reason ELSE coalesce(error, reply, 'Success') END AS output FROM vetoes")
 def tool_success_semantics(spark, d):
     return safety.guarded(v_tool(spark, d), tools.registry(spark)).select("ord", "accepted", "success", "output")
 
 
+#: Every tool is called in turn, with values that fit and values that don't.
+_CALLS = """v_call AS (SELECT user_id AS vehicle, event_id AS ord, ts, r.name, CASE r.kind WHEN 'bool' THEN '{"arg0": ' || (k % 2 = 0)::VARCHAR || '}' WHEN 'range' THEN '{"arg0": ' || (k * 3) || '}'
+    WHEN 'enum' THEN '{"arg0": "' || CASE WHEN k % 4 = 0 THEN '无' ELSE r.allowed[k % len(r.allowed) + 1] END || '"}' ELSE '{"arg0": "' || k || '"}' END AS arguments FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events) e JOIN rules r ON r.nth = event_id % 47)"""
+
+
+def _calls(spark, d):
+    rules = tools.registry(spark, tools.RULES).select("name", "kind", "allowed")
+    nth = spark.createDataFrame([(k, r[0]) for k, r in enumerate(tools.RULES)], "nth int, name string")
+    e = load(spark, d, "events").select(F.col("user_id").alias("vehicle"), F.col("event_id").alias("ord"), "ts", K().cast("int").alias("k"), (F.col("event_id") % len(tools.RULES)).cast("int").alias("nth"))
+    k = F.col("k")
+    chosen = F.when(k % 4 == 0, F.lit("无")).otherwise(F.get("allowed", k % F.array_size("allowed")))
+    given = F.when(F.col("kind") == "bool", (k % 2 == 0).cast("string")).when(F.col("kind") == "range", (k * 3).cast("string")).otherwise(F.concat(F.lit('"'), F.when(F.col("kind") == "enum", chosen).otherwise(k.cast("string")), F.lit('"')))
+    return e.join(nth, "nth").join(rules, "name").select("vehicle", "ord", "ts", "name", F.concat(F.lit('{"arg0": '), given, F.lit("}")).alias("arguments"))
+
+
+@query(f"WITH {_RULES}, {_CALLS}, {_check_sql('v_call')} SELECT ord, name, accepted, coalesce(error, reply, 'Success') AS output FROM checked")
+def tool_result_text(spark, d):
+    return _checked(spark, d, _calls(spark, d)).select("ord", "name", "accepted", tools.result_text(tools.reply(), F.col("error")).alias("output"))
+
+
+#: Errors are taken as doors that open and shut.
+_DOORS = """doors AS (SELECT user_id AS vehicle, ts, event_id AS ord, ['左前门开启', '右前门开启', '左后门开启', '右后门开启'][user_id % 4 + 1] AS field, CAST(props->>'$.k' AS INTEGER) % 2 = 0 AS open FROM events WHERE event_type = 'error')"""
+
+
+@query(f"""WITH {_CHECK}, {_DOORS}, u AS (SELECT ord, vehicle, ts, name, flag, error, accepted, reply, NULL::BOOLEAN AS open, 1 AS o FROM checked UNION ALL SELECT ord, vehicle, ts, NULL, NULL, NULL, NULL, NULL, open, 0 FROM doors),
+    w AS (SELECT *, coalesce(last_value(open IGNORE NULLS) OVER (PARTITION BY vehicle ORDER BY ts, ord, o ROWS UNBOUNDED PRECEDING), false) AS door_open FROM u)
+    SELECT ord, vehicle, door_open, accepted AND NOT (flag AND door_open) AS accepted, coalesce(error, CASE WHEN flag AND door_open THEN '车门未关闭，车门闭锁失败' ELSE reply END) AS output FROM w WHERE name = 'set_door_lock' AND flag""")
+def tool_door_refusal(spark, d):
+    doors = load(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("vehicle"), "ts", F.col("event_id").alias("ord"), F.get(F.array(*map(F.lit, tools.DOORS)), (F.col("user_id") % 4).cast("int")).alias("field"), (K().cast("int") % 2 == 0).alias("open"))
+    calls = safety.guarded(v_tool(spark, d), tools.registry(spark), doors)
+    return calls.filter("name = 'set_door_lock' and value = 'true'").select("ord", "vehicle", "door_open", "accepted", "output")
+
+
+@query(f"WITH {_RULES} SELECT 'vehicle' AS manager, 0 AS nth, name FROM rules WHERE field IS NOT NULL UNION ALL SELECT 'other', 1, name FROM rules WHERE field IS NULL UNION ALL SELECT 'again', 2, name FROM rules WHERE kind = 'enum'")
+def tool_specs(spark, d):
+    r = tools.registry(spark)
+    return tools.specs([("vehicle", r.filter("field is not null")), ("other", r.filter("field is null")), ("again", r.filter("kind = 'enum'"))])
+
+
+@query(f"WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{{\"车速\":' || ({SQL_K}) || '}}' WHEN 1 THEN '{{}}' ELSE 'broken' END AS status, CAST({SQL_K} AS INTEGER) AS k FROM events) SELECT event_id, CASE event_id % 3 WHEN 0 THEN k ELSE 0 END AS speed FROM s")
+def speed_status(spark, d):
+    i = F.col("event_id") % 3
+    status = F.when(i == 0, F.concat(F.lit('{"车速":'), K(), F.lit("}"))).when(i == 1, F.lit("{}")).otherwise(F.lit("broken"))
+    return load(spark, d, "events").select("event_id", jsonx.speed(status).alias("speed"))
+
+
 # ---- scenes
 
 _SC = f"CASE WHEN name IN {_in(scenes.SCENES)} THEN name ELSE '其他' END"
@@ -346,12 +428,7 @@ _ALLOWED = "allowed(scene, name) AS (VALUES " + ", ".join(f"({_q(s)}, {_q(t)})"
 
 @query(f"WITH {_RULES}, {_ALLOWED} SELECT scene, name FROM allowed SEMI JOIN rules USING (name)")
 def scene_tools_semi(spark, d):
-    rules, allowed = tools.registry(spark), scenes.whitelist(spark)
-    out = None
-    for s in [*scenes.SCENES, scenes.OTHER]:
-        own = scenes.tools_of(rules, allowed, s).select(F.lit(s).alias("scene"), "name")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return scenes.tools_of(tools.registry(spark), scenes.whitelist(spark)).select("scene", "name")
 
 
 @query(f"WITH {_RULES}, {_ALLOWED} SELECT scene, name FROM allowed ANTI JOIN rules USING (name)")
@@ -376,10 +453,10 @@ def frame_admission(spark, d):
     return scenes.admitted(v_frame(spark, d), (k % 10 == 0) | (k % 10 == 1) | (k > 90)).select("ord", "processed")
 
 
-@query("SELECT ord, CASE WHEN name IN ('', '其他', '无效场景') THEN 'system/assistant_default' WHEN k = 7 THEN 'task/front_view_qa' ELSE 'system/assistant_scene' END AS prompt FROM v_frame WHERE NOT (k = 7 AND name = '其他')")
+@query("SELECT ord, CASE WHEN k = 7 THEN 'task/front_view_qa' WHEN name IN ('', '其他', '无效场景') THEN 'system/assistant_default' ELSE 'system/assistant_scene' END AS prompt FROM v_frame")
 def prompt_select(spark, d):
     earlier = F.when(F.col("k") == 7, F.lit("task/front_view_qa"))
-    return v_frame(spark, d).filter("not (k = 7 and name = '其他')").select("ord", scenes.prompt_name(F.col("name"), earlier).alias("prompt"))
+    return v_frame(spark, d).select("ord", scenes.prompt_name(F.col("name"), earlier).alias("prompt"))
 
 
 @query("SELECT ord, CASE WHEN k % 3 = 0 THEN '其他' ELSE name END AS name, CASE WHEN k % 3 = 0 THEN 'broken {' || k ELSE 'd' || k END AS description FROM v_frame")
@@ -421,28 +498,44 @@ def _runs(spark, d):
     """Events of a user and day as iterations of a run; clicks are text replies, errors have only vetoed calls."""
     e = load(spark, d, "events").withColumn("run_id", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")))
     order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    return e.select("run_id", (F.row_number().over(order) - 1).cast("long").alias("iteration"), (K().cast("int") / 2.5).alias("start_s"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("n_calls"), (F.col("event_type") == "error").alias("all_vetoed"))
+    return e.select("run_id", (F.row_number().over(order) - 1).cast("long").alias("iteration"), (K().cast("int") / 2.5).alias("start_s"), (K().cast("int") / 2.5 + 2).alias("end_s"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("n_calls"), (F.col("event_type") == "error").alias("all_vetoed"))
 
 
-@query(f"""WITH i AS (SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS run_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) - 1 AS iteration, CAST({SQL_K} AS INTEGER) / 2.5 > 30 AS late, event_type IN ('click', 'error') AS ends FROM events),
+@query(f"""WITH i AS (SELECT user_id || ':' || strftime(ts, '%Y%m%d') AS run_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) - 1 AS iteration, CAST({SQL_K} AS INTEGER) / 2.5 + 2 AS end_s, CAST({SQL_K} AS INTEGER) / 2.5 > 30 AS late, event_type IN ('click', 'error') AS ends FROM events),
     g AS (SELECT run_id, min(iteration) FILTER (late) AS late_at, min(iteration) FILTER (ends AND NOT late AND iteration < 3) AS end_at, max(iteration) AS last FROM i GROUP BY run_id),
-    x AS (SELECT *, end_at IS NOT NULL AND (late_at IS NULL OR end_at < late_at) AS done, late_at IS NOT NULL AND late_at < 3 AS timeout FROM g)
-    SELECT run_id, CASE WHEN done THEN end_at + 1 WHEN timeout THEN late_at ELSE least(last + 1, 3) END AS iterations_used, CASE WHEN done THEN 'SUCCESS' WHEN timeout THEN 'TIMEOUT' WHEN last + 1 >= 3 THEN 'MAX_ITERATIONS_REACHED' ELSE 'RUNNING' END AS outcome FROM x""")
+    x AS (SELECT *, end_at IS NOT NULL AND (late_at IS NULL OR end_at < late_at) AS done, late_at IS NOT NULL AND late_at < 3 AS timeout FROM g),
+    y AS (SELECT run_id, CASE WHEN done THEN end_at + 1 WHEN timeout THEN late_at ELSE least(last + 1, 3) END AS iterations_used, CASE WHEN done THEN 'SUCCESS' WHEN timeout THEN 'TIMEOUT' WHEN last + 1 >= 3 THEN 'MAX_ITERATIONS_REACHED' ELSE 'RUNNING' END AS outcome FROM x)
+    SELECT run_id, iterations_used, max(end_s) FILTER (iteration < iterations_used) AS duration_s, outcome FROM y JOIN i USING (run_id) GROUP BY ALL""")
 def run_outcome(spark, d):
     return requests.outcomes(_runs(spark, d), 3, 30)
 
 
+@query(f"SELECT event_id, event_type = 'click' OR event_type = 'error' OR CAST({SQL_K} AS INTEGER) >= 90 AS any_stops, event_type = 'click' AND CAST({SQL_K} AS INTEGER) % 2 = 0 AND CAST({SQL_K} AS INTEGER) >= 90 AS all_stop FROM events")
+def run_terminated(spark, d):
+    k, kind = K().cast("int"), F.col("event_type")
+    return load(spark, d, "events").select("event_id", requests.terminated(kind == "click", kind == "error", k >= 90).alias("any_stops"), requests.terminated(kind == "click", k % 2 == 0, k >= 90, "all").alias("all_stop"))
+
+
+@query("""SELECT l_orderkey AS request_id, epoch_us(ts) AS ts_us, text, error_type FROM (WITH r AS (SELECT l_orderkey, l_shipdate, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, 'r' || l_partkey) AS rn FROM lineitem)
+    SELECT o_orderkey AS l_orderkey, CASE WHEN late THEN o_orderdate + INTERVAL 2592000 SECOND ELSE l_shipdate END AS ts, CASE WHEN late THEN '系统: 请求超时' ELSE 'r' || l_partkey END AS text, CASE WHEN late THEN 'TIMEOUT' END AS error_type
+    FROM (SELECT *, l_shipdate IS NULL OR epoch_us(l_shipdate) - epoch_us(o_orderdate) > 2592000000000 AS late FROM orders LEFT JOIN r ON o_orderkey = l_orderkey AND rn = 1))""")
+def request_answer(spark, d):
+    asked = load(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("enqueued"))
+    got = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").alias("arrival"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("text"))
+    return requests.answered(asked, got, 30 * 86_400).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+
+
 @query("""WITH r AS (SELECT event_id, user_id, ts, max(ts + INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM events) SELECT event_id, coalesce(busy_until > ts, false) AS rejected FROM r""")
 def run_busy(spark, d):
     e = load(spark, d, "events").select("event_id", F.col("user_id").alias("agent"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("end"), F.col("event_id").alias("ord"))
     return requests.busy(e).select("event_id", "rejected")
 
 
-@query("""SELECT event_id, n AS listener FROM events JOIN (VALUES ('all', TIMESTAMP '2000-01-01', NULL), ('early', TIMESTAMP '2000-01-01', TIMESTAMP '2024-01-10'), ('late', TIMESTAMP '2024-01-20', NULL)) AS l(n, since, until) ON ts >= since AND (until IS NULL OR ts < until) WHERE event_type = 'signup'""")
+@query("""SELECT event_id, n AS listener FROM events JOIN (VALUES ('all', TIMESTAMP '2000-01-01', NULL), ('early', TIMESTAMP '2000-01-01', TIMESTAMP '2024-01-10'), ('late', TIMESTAMP '2024-01-20', NULL)) AS l(n, since, until) ON ts >= since AND (until IS NULL OR ts < until)""")
 def listener_fan_out(spark, d):
     rows = [("all", "2000-01-01", None), ("early", "2000-01-01", "2024-01-10"), ("late", "2024-01-20", None)]
     who = spark.createDataFrame(rows, "listener string, since string, until string").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")})
-    r = load(spark, d, "events").filter("event_type = 'signup'").select("event_id", F.col("ts").alias("arrival"))
+    r = load(spark, d, "events").select("event_id", F.col("ts").alias("arrival"))
     return requests.fan_out(r, who).select("event_id", "listener")
 
 
@@ -485,8 +578,13 @@ def redact_result(spark, d):
     WHEN 'FULL_DEBUG' THEN CASE kind WHEN 'text' THEN {_cut_sql("text", 500, "... (truncated)")} ELSE {_cut_sql("text", 200, "... (truncated)")} END END AS captured
     FROM documents, (VALUES ('OFF'), ('REDACTED'), ('FULL_DEBUG')) AS m(mode), (VALUES ('text'), ('argument'), ('result')) AS k(kind)""")
 def capture_mode(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text").withColumn("mode", F.explode(F.array(*map(F.lit, ["OFF", "REDACTED", "FULL_DEBUG"])))).withColumn("kind", F.explode(F.array(*map(F.lit, ["text", "argument", "result"]))))
-    return docs.select("doc_id", "mode", "kind", text.captured(F.col("text"), F.col("kind"), F.col("mode")).alias("captured"))
+    each = [F.struct(F.lit(m).alias("mode"), F.lit(k).alias("kind"), text.captured(F.col("text"), F.lit(k), F.lit(m)).alias("captured")) for m in ("OFF", "REDACTED", "FULL_DEBUG") for k in ("text", "argument", "result")]
+    return load(spark, d, "documents").select("doc_id", F.inline(F.array(*each)))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN length(text) > 500 THEN substr(text, 1, 500) || '…' ELSE text END AS user_input FROM documents")
+def voice_input_cut(spark, d):
+    return load(spark, d, "documents").select("doc_id", text.voice_input(F.col("text")).alias("user_input"))
 
 
 @query("WITH n AS (SELECT memory_id, seq, text, lead(text) OVER (PARTITION BY memory_id ORDER BY seq) AS answer FROM v_msg) SELECT memory_id, seq, replace(replace('U={{user_message}} A={{ai_response}}', '{{user_message}}', CASE WHEN seq % 2 = 0 THEN text ELSE 'see {{ai_response}}' END), '{{ai_response}}', coalesce(answer, '')) AS prompt FROM n")
@@ -535,10 +633,10 @@ def span_http_error(spark, d):
     return spans.http_span(e).select("event_id", "span_status", "error_type")
 
 
-@query(f"WITH {_GUARD} SELECT ord, 'tool.name=' || name || ';tool.success=' || (veto_reason IS NULL)::VARCHAR || coalesce(';tool.veto.reason=' || veto_reason, '') AS attrs FROM vetoes")
+@query(f"WITH {_GUARD} SELECT ord, 'tool.name=' || name || ';tool.success=' || (veto_reason IS NULL)::VARCHAR || coalesce(';tool.safety_veto_reason=' || veto_reason, '') AS attrs FROM vetoes")
 def span_tool_attributes(spark, d):
     made = spans.tool_span(safety.guarded(v_tool(spark, d), tools.registry(spark)))
-    shown = [F.concat(F.lit(k + "="), F.col("attrs")[k]) for k in ("tool.name", "tool.success", "tool.veto.reason")]
+    shown = [F.concat(F.lit(k + "="), F.col("attrs")[k]) for k in ("tool.name", "tool.success", "tool.safety_veto_reason")]
     return made.select("ord", F.concat_ws(";", *shown).alias("attrs"))
 
 
@@ -587,7 +685,7 @@ def prop_downsample(spark, d):
 @query(f"WITH {_SIGNALS} SELECT event_id, s.name, value FROM events JOIN s ON s.signal_id = 10001 + event_id % 30")
 def prop_with_signal(spark, d):
     c = properties.signals(spark)
-    values = load(spark, d, "events").select("event_id", "value", (F.lit(10001) + F.col("event_id") % 30).alias("signal_id")).join(F.broadcast(c.select("signal_id", "prop", "area_id")), "signal_id")
+    values = load(spark, d, "events").select("event_id", "value", (F.lit(10001) + F.col("event_id") % 30).alias("signal_id")).join(c.select("signal_id", "prop", "area_id"), "signal_id")
     return properties.with_signals(values.drop("signal_id"), c.select("prop", "area_id", "name")).select("event_id", "name", "value")
 
 
@@ -596,10 +694,116 @@ def card_functions(spark, d):
     return properties.cards(spark).select("card", F.posexplode("functions").alias("pos", "function"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u AS unit FROM lineitem JOIN (VALUES ('GALLON', 66), ('US_GALLON', 66), ('LITER', 65), ('IMPERIAL_GALLON', 67)) AS t(u, code) ON code = 65 + l_linenumber % 3 WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u AS unit FROM lineitem JOIN (VALUES ('GALLON', 66), ('US_GALLON', 66), ('LITER', 65), ('IMPERIAL_GALLON', 67)) AS t(u, code) ON code = 65 + l_linenumber % 3")
 def unit_fan_out(spark, d):
-    li = load(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.lit(65) + F.col("l_linenumber") % 3).alias("code"))
-    return li.join(F.broadcast(properties.units(spark)), "code").drop("code")
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.lit(65) + F.col("l_linenumber") % 3).alias("code"))
+    return li.join(properties.units(spark), "code").drop("code")
+
+
+# ---- spans of the other steps, personas, ends of turns
+
+
+def _shown(*keys: str) -> Column:
+    return F.concat_ws(";", *[F.concat(F.lit(k + "="), F.col("attrs")[k]) for k in keys]).alias("attrs")
+
+
+@query("""SELECT event_id AS run_id, 'agent.' || CASE event_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'scene' ELSE 'vision_qa' END AS name, 'session.persona=' || CASE event_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'scene' ELSE 'vision_qa' END || ';user.id=' || user_id || CASE WHEN event_id % 5 = 0 THEN '' ELSE ';user.input=' || event_type END AS attrs FROM events""")
+def span_persona(spark, d):
+    e, i = load(spark, d, "events"), F.col("event_id")
+    runs = e.select(i.alias("run_id"), F.get(F.array(*map(F.lit, personas.PERSONAS)), (i % 3).cast("int")).alias("persona"), "user_id", F.when(i % 5 == 0, F.lit("")).otherwise(F.col("event_type")).alias("text"))
+    return spans.persona_span(runs).select("run_id", "name", _shown("session.persona", "user.id", "user.input"))
+
+
+@query(rf"""WITH f AS (SELECT memory_id, string_agg(CASE type WHEN 'system' THEN 'system:' WHEN 'user' THEN 'user:' ELSE 'assistant:' END || coalesce(text, ''), chr(10) ORDER BY seq) AS text, count(*) AS n FROM v_msg GROUP BY memory_id), c AS (SELECT memory_id, n, CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '... (truncated)' ELSE text END AS text FROM f)
+    SELECT memory_id AS run_id, 'agent.persona=chat;agent.iteration=2;prompt.transient_messages=user:now;prompt.chat_messages=' || {_cut_sql(_MASK, 500, "… (truncated)")} || ';prompt.message_count=' || n || ';prompt.tool_spec_count=' || CASE WHEN memory_id % 2 = 0 THEN 2 ELSE 0 END || ';prompt.tool_specs=' || CASE WHEN memory_id % 2 = 0 THEN 'a, b' ELSE '' END AS attrs FROM c""")
+def span_prompt_assembly(spark, d):
+    m = v_msg(spark, d)
+    prompts = messages.joined(m).join(messages.stats(m), "memory_id").select(F.col("memory_id").alias("run_id"), F.lit(2).alias("iteration"), F.lit("chat").alias("persona"), F.lit("user:now").alias("transient"), F.col("formatted").alias("chat"), "message_count", F.when(F.col("memory_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tool_names"))
+    return spans.prompt_span(prompts).select("run_id", _shown("agent.persona", "agent.iteration", "prompt.transient_messages", "prompt.chat_messages", "prompt.message_count", "prompt.tool_spec_count", "prompt.tool_specs"))
+
+
+@query(f"""SELECT event_id AS run_id, 'gen_ai.provider=dashscope;gen_ai.model=qwen-turbo;agent.iteration=' || CAST({SQL_K} AS INTEGER) % 10 || ';prompt.message_count=' || CAST({SQL_K} AS INTEGER) || CASE WHEN event_type = 'click' THEN ';gen_ai.tool_calls=a, b' ELSE ';gen_ai.output=138****' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') END
+    || CASE WHEN event_id % 2 = 0 THEN ';gen_ai.usage.input_tokens=' || CAST({SQL_K} AS INTEGER) * 9 || ';gen_ai.usage.output_tokens=7;gen_ai.usage.total_tokens=' || CAST({SQL_K} AS INTEGER) * 9 + 7 ELSE '' END AS attrs FROM events""")
+def span_model_call(spark, d):
+    e, k, i = load(spark, d, "events"), K().cast("int"), F.col("event_id")
+    used = lambda n: F.when(i % 2 == 0, n)
+    answer = F.when(F.col("event_type") != "click", F.concat(F.lit("1381234"), F.lpad((i % 10_000).cast("string"), 4, "0")))
+    calls = e.select(i.alias("run_id"), (k % 10).alias("iteration"), F.lit("qwen-turbo").alias("model"), k.alias("message_count"), answer.alias("answer"), F.when(F.col("event_type") == "click", F.array(F.lit("a"), F.lit("b"))).alias("tool_names"), used(k * 9).alias("input_tokens"), used(F.lit(7)).alias("output_tokens"), used(k * 9 + 7).alias("total_tokens"))
+    return spans.model_span(calls).select("run_id", _shown("gen_ai.provider", "gen_ai.model", "agent.iteration", "prompt.message_count", "gen_ai.tool_calls", "gen_ai.output", "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.total_tokens"))
+
+
+@query("""SELECT doc_id AS run_id, CASE WHEN doc_id % 2 = 0 THEN 'memory.compress' ELSE 'memory.extract' END AS name, 'memory.operation=' || CASE WHEN doc_id % 2 = 0 THEN 'compress' ELSE 'extract' END || ';memory.input_chars=' || greatest(length(coalesce(text, '')) - 100, 0) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ';memory.output=' || lang END
+    || ';memory.output_chars=' || CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(lang) END || CASE WHEN doc_id % 2 = 0 THEN ';memory.compressed=' || (doc_id % 3 <> 0)::VARCHAR ELSE ';memory.candidate_count=' || doc_id % 4 END AS attrs FROM documents""")
+def span_memory(spark, d):
+    i, docs = F.col("doc_id"), load(spark, d, "documents")
+    output = F.when(i % 3 != 0, F.col("lang"))
+    steps = docs.select(i.alias("run_id"), F.when(i % 2 == 0, "compress").otherwise("extract").alias("operation"), (F.length(F.coalesce("text", F.lit(""))) - 100).alias("input_chars"), F.col("text").alias("prompt"), output.alias("output"), (i % 4).alias("candidate_count"), (i % 3 != 0).alias("compressed"))
+    return spans.memory_span(steps).select("run_id", "name", _shown("memory.operation", "memory.input_chars", "memory.output", "memory.output_chars", "memory.compressed", "memory.candidate_count"))
+
+
+@query("SELECT event_id AS request_id, 'response.success=' || (event_type <> 'error')::VARCHAR || ';response.text.length=' || CASE WHEN event_type = 'view' THEN 0 ELSE length(event_type) END || CASE WHEN event_type = 'error' THEN ';response.error_type=MODEL' ELSE '' END AS attrs FROM events")
+def span_response(spark, d):
+    kind = F.col("event_type")
+    r = load(spark, d, "events").select(F.col("event_id").alias("request_id"), (kind != "error").alias("success"), F.when(kind != "view", kind).alias("text"), F.when(kind == "error", F.lit("MODEL")).alias("error_type"))
+    return spans.response_span(r).select("request_id", _shown("response.success", "response.text.length", "response.error_type"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN event_type <> 'error' THEN 'OK' WHEN event_id % 2 = 0 THEN 'network down' ELSE 'IOException' END AS status_text, CASE WHEN event_type = 'error' THEN 'a=1;error.type=java.io.IOException' || CASE WHEN event_id % 2 = 0 THEN ';error.message=network down' ELSE '' END ELSE 'a=1' END AS attrs FROM events""")
+def span_exception(spark, d):
+    bad = F.col("event_type") == "error"
+    made = load(spark, d, "events").select("event_id", spans.attributes(a=F.lit(1)).alias("attrs"), F.when(bad, F.lit("java.io.IOException")).alias("error_class"), F.when(bad & (F.col("event_id") % 2 == 0), F.lit("network down")).alias("error_message"))
+    return spans.failed(made).select("event_id", "status", "status_text", _shown("a", "error.type", "error.message"))
+
+
+_NOTE = """CASE WHEN event_type <> 'error' THEN '{"场景名称":"' || name || '","场景描述":"d' || k || '"}' ELSE '未知场景' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, e.ts, user_id, event_type, CAST({SQL_K} AS INTEGER) AS k, event_id % 3 AS iteration, v.name FROM events e JOIN v_frame v ON v.ord = event_id),
+    c AS (SELECT event_id, 'chat' AS persona, [CASE WHEN iteration = 0 AND k % 2 = 0 THEN '【用户记忆参考】m' || k END, '车辆状态：s' || user_id, '当前时间：' || strftime(ts + INTERVAL 8 HOUR, '%Y年%m月%d日 %H时%M分')] AS said FROM r
+          UNION ALL SELECT event_id, 'scene', ['场景描述：' || {_NOTE}, '车辆状态：s' || user_id, 'act'] FROM r),
+    u AS (SELECT event_id, persona, unnest([1, 2, 3]) AS chain_pos, unnest(said) AS text FROM c) SELECT event_id AS run_id, persona, chain_pos, text FROM u WHERE text IS NOT NULL""")
+def persona_context(spark, d):
+    f = v_frame(spark, d).select(F.col("ord").alias("event_id"), F.when(F.col("name") != scenes.OTHER, F.col("name")).alias("scene"))
+    k, i = K().cast("int"), F.col("event_id")
+    runs = load(spark, d, "events").join(f, "event_id").select(F.col("user_id").alias("memory_id"), i.alias("run_id"), (i % 3).alias("iteration"), F.when(k % 2 == 0, F.concat(F.lit("m"), k.cast("string"))).alias("memory_text"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("vehicle_status"), "ts", "scene", F.concat(F.lit("d"), k.cast("string")).alias("scene_text"))
+    made = [personas.context(runs, personas.PERSONAS[p], {"user/active_control": "act"}).select("run_id", F.lit(p).alias("persona"), "chain_pos", "text") for p in ("chat", "scene")]
+    return made[0].unionByName(made[1])
+
+
+@query(f"""SELECT ord, 'a' || k AS chat, CASE WHEN {_map_sql('name', scenes.ACTIONS, repr(''))} = '' THEN 'a' || k ELSE 'a' || k || '+' || {_map_sql('name', scenes.ACTIONS, repr(''))} END AS scene, 'a' || k || '{text.VISION_WARNING}' AS vision FROM v_frame""")
+def persona_answer(spark, d):
+    said, p = F.concat(F.lit("a"), F.col("k").cast("string")), personas.PERSONAS
+    merged = F.concat(said, F.lit("+"), scenes.action(F.col("name")))
+    return v_frame(spark, d).select("ord", personas.after(said, p["chat"]).alias("chat"), personas.after(said, p["scene"], F.col("name"), merged).alias("scene"), personas.after(said, p["vision_qa"]).alias("vision"))
+
+
+_TURN = rf"""o AS (SELECT ord, user_id, ts, trim(regexp_replace(regexp_replace({_OUTPUT_SQL}, '```json\s*', '', 'g'), '```\s*', '', 'g'), chr(10) || ' ') AS t FROM v_mem WHERE ord % 5 <> 0),
+    a AS (SELECT ord, user_id, ts, CAST(t AS JSON) AS j FROM o WHERE json_valid(t) AND CASE WHEN json_valid(t) THEN json_type(t) END = 'ARRAY'),
+    e AS (SELECT ord, user_id, ts, unnest(range(json_array_length(j)::BIGINT)) AS pos, j FROM a), x AS (SELECT ord, user_id, ts, pos, json_extract(j, '$[' || pos || ']') AS v FROM e),
+    c AS (SELECT ord, user_id, ts, pos, coalesce(v->>'$.category', 'fact') AS category, coalesce(v->>'$.key', '') AS key_text, CASE WHEN json_type(v, '$.value') = 'OBJECT' THEN '' ELSE coalesce(v->>'$.value', '') END AS value_text, coalesce(try_cast(v->>'$.confidence' AS DOUBLE), 0.5) AS confidence FROM x WHERE json_type(v) = 'OBJECT'),
+    w AS (SELECT ord, user_id, ts, pos, {_CAT} AS category, key_text, value_text, confidence FROM c WHERE key_text <> '' AND value_text <> '' AND confidence >= 0.3)"""
+
+
+@query(rf"""WITH {_TURN}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, category, key_text ORDER BY ts DESC, ord DESC, pos DESC) AS rn, min(ts) OVER (PARTITION BY user_id, category, key_text) AS created FROM w)
+    SELECT user_id, category, key_text, value_text, confidence, {time_sql('created')} AS created_at, {time_sql('ts')} AS updated_at FROM r WHERE rn = 1""")
+def turn_end_memories(spark, d):
+    m = v_mem(spark, d)
+    turns = m.select(F.col("ord").alias("turn_id"), "user_id", "ts", F.when(F.col("ord") % 5 == 0, F.lit("")).otherwise(F.col("value_text")).alias("user_message"))
+    made = memory.upsert(memory.extracted(turns, m.select(F.col("ord").alias("turn_id"), _model_output().alias("model_output"))))
+    return made.select("user_id", "category", "key_text", "value_text", "confidence", time_text("created_at").alias("created_at"), time_text("updated_at").alias("updated_at"))
+
+
+@query(f"SELECT user_id, count(*) FILTER (event_type = 'view') AS n_compactions, arg_max(CAST({SQL_K} AS INTEGER), row(ts, event_id)) AS last_tokens FROM events GROUP BY user_id")
+def turn_end_runtime(spark, d):
+    return personas.runtime(load(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("ord"), (F.col("event_type") == "view").alias("compacted"), K().cast("int").alias("token_estimate")))
+
+
+@query(f"SELECT user_id AS client, string_agg(event_id || '=' || CASE WHEN CAST({SQL_K} AS INTEGER) % 9 = 0 THEN 'none' ELSE ({SQL_K}) END, ',' ORDER BY event_id) AS shown FROM events GROUP BY user_id")
+def prop_callbacks(spark, d):
+    given = F.when(K().cast("int") % 9 == 0, F.array().cast("array<int>")).otherwise(F.array(K().cast("int"), F.lit(-1)))
+    got = properties.by_request(load(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), given.alias("int_values")))
+    each = F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("none"))))
+    return got.select("client", F.array_join(each, ",").alias("shown"))
 
 
 # ---- extensions: beyond the operators of an assistant, labelled ext_

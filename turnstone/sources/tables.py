@@ -72,11 +72,27 @@ def v_mem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    k, i = K("props", "$.k"), F.col("event_id") % 7
-    arguments = F.when(i == 0, F.lit("{}")).when(i == 1, F.concat(F.lit('{"arg0": "'), k, F.lit('"}'))).otherwise(F.concat(F.lit('{"arg0": '), k, F.lit("}")))
+    k, i = K("props", "$.k"), F.col("event_id") % 20
+    odd = {0: "{}", 1: '{"arg0": null}', 2: '{"arg0": true}', 3: '{"arg0": false}', 4: '{"arg0": "TRUE"}', 5: '{"arg0": "false"}', 6: '{"arg0": "yes"}', 7: "broken", 8: '{"arg0": 0}', 9: '{"arg0": false}'}
+    arguments = F.when(i == 10, F.concat(F.lit('{"arg0": "'), k, F.lit('"}'))).when(i == 11, F.concat(F.lit('{"arg0": '), k, F.lit(".75}")))
+    for n, given in odd.items():
+        arguments = arguments.when(i == n, F.lit(given))
+    arguments = arguments.otherwise(F.concat(F.lit('{"arg0": '), k, F.lit("}")))
     return e.select(F.col("user_id").alias("vehicle"), F.col("event_id").alias("ord"), "ts", _case("event_type", TOOL_OF, "set_unknown").alias("name"), arguments.alias("arguments"))
 
 
+CHAT_TYPE = {"signup": "system", "purchase": "user", "view": "ai", "click": "ai", "error": "tool"}
+
+
+def v_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with tool calls and results."""
+    e, kind = load(spark, sf_dir, "events"), F.col("event_type")
+    said = F.when(kind == "error", F.repeat(K("props", "$.k"), F.lit(50))).when(kind != "click", F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    calls = F.when(kind == "click", F.array(F.lit("set_ac_status"), F.lit("set_door_lock"))).otherwise(F.array().cast("array<string>"))
+    call = F.when(kind.isin("click", "error"), F.concat(F.lit("c"), F.floor(F.col("event_id") / 2).cast("string")))
+    return e.select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("seq"), _case("event_type", CHAT_TYPE).alias("type"), said.alias("text"), F.when(kind == "error", F.lit("set_door_lock")).alias("tool_name"), calls.alias("calls"), call.alias("call_id"))
+
+
 def v_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("ord"), _case("event_type", SCENE_OF).alias("name"), K("props", "$.k").cast("int").alias("k"))
@@ -92,7 +108,10 @@ VIEWS = {
     "v_msg": "SELECT conv_id AS memory_id, turn AS seq, role AS type, text FROM conversations",
     "v_mem": f"SELECT user_id, event_type, {_case_sql('event_type', CATEGORY_OF)} AS category, props->>'$.k' AS key_text, CAST(event_id AS VARCHAR) AS value_text, value / 500 AS confidence, ts, event_id AS ord FROM events",
     "v_tool": f"""SELECT user_id AS vehicle, event_id AS ord, ts, {_case_sql("event_type", TOOL_OF, "set_unknown")} AS name,
-        CASE event_id % 7 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"arg0": "' || (props->>'$.k') || '"}}' ELSE '{{"arg0": ' || (props->>'$.k') || '}}' END AS arguments FROM events""",
+        CASE event_id % 20 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"arg0": null}}' WHEN 2 THEN '{{"arg0": true}}' WHEN 3 THEN '{{"arg0": false}}' WHEN 4 THEN '{{"arg0": "TRUE"}}' WHEN 5 THEN '{{"arg0": "false"}}' WHEN 6 THEN '{{"arg0": "yes"}}' WHEN 7 THEN 'broken'
+        WHEN 8 THEN '{{"arg0": 0}}' WHEN 9 THEN '{{"arg0": false}}' WHEN 10 THEN '{{"arg0": "' || (props->>'$.k') || '"}}' WHEN 11 THEN '{{"arg0": ' || (props->>'$.k') || '.75}}' ELSE '{{"arg0": ' || (props->>'$.k') || '}}' END AS arguments FROM events""",
+    "v_chat": f"""SELECT user_id AS memory_id, event_id AS seq, {_case_sql("event_type", CHAT_TYPE)} AS type, CASE WHEN event_type = 'error' THEN repeat(props->>'$.k', 50) WHEN event_type <> 'click' THEN 'm' || event_id END AS text,
+        CASE WHEN event_type = 'error' THEN 'set_door_lock' END AS tool_name, CASE WHEN event_type = 'click' THEN ['set_ac_status', 'set_door_lock'] ELSE []::VARCHAR[] END AS calls, CASE WHEN event_type IN ('click', 'error') THEN 'c' || (event_id // 2) END AS call_id FROM events""",
     "v_frame": f"SELECT user_id AS stream_id, ts, event_id AS ord, {_case_sql('event_type', SCENE_OF)} AS name, CAST(props->>'$.k' AS INTEGER) AS k FROM events",
     "v_session": f"SELECT user_id, 'S_' || strftime(ts, '%Y%m%d') AS session_id, {_case_sql('event_type', {'signup': 'create', 'error': 'end'})} AS action, ts, event_id AS ord FROM events WHERE event_type IN ('signup', 'error')",
 }

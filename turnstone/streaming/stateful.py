@@ -1,7 +1,8 @@
 """Streaming forms of the operators that keep state, with the results of their batch forms.
 
-Rows may come in any order inside a micro-batch; batches are taken in order, as
-one device sends them.
+Rows may come in any order inside a micro-batch. Where a form takes ``late``, rows
+may also come in a later batch than their neighbours: they are held back until the
+watermark has passed them. Without it batches are taken in order, as one device sends them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import memory, scenes
+from ..operators import memory, requests, scenes
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -21,24 +22,54 @@ def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def scene_changes(frames: DataFrame) -> DataFrame:
-    """frames: stream_id long, ts, ord long, name. Emits stream_id, ord, name at each change; scenes without a name or 其他 don't count."""
+def captures(spark: SparkSession, per_second: int = 1, delay_s: int = 5) -> DataFrame:
+    """nth, ts of the captures that a fixed-rate timer asks for, the first one after the delay."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return ticks.filter(F.col("value") >= delay_s * per_second).select((F.col("value") - delay_s * per_second).alias("nth"), F.col("timestamp").alias("ts"))
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(batches).sort_values(["ts", "ord"])
-        before = rows["name"].shift()
-        before.iloc[0] = last
-        state.update((rows["name"].iloc[-1],))
-        out = rows[rows["name"] != before]
-        yield pd.DataFrame({"stream_id": out["stream_id"], "ord": out["ord"], "name": out["name"]})
 
-    known = frames.filter(~F.coalesce(F.col("name"), F.lit("")).isin("", scenes.OTHER))
-    return known.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, ord long, name string", "name string", "append", GroupStateTimeout.NoTimeout)
+def _micros(ts: pd.Series) -> list[int]:
+    return [int(x) for x in pd.to_datetime(ts).astype("datetime64[us]").astype("int64")]
+
+
+def scene_changes(frames: DataFrame, late: str | None = None) -> DataFrame:
+    """frames: stream_id long, ts timestamp, ord long, name, and reset boolean where some frames reset the scene.
+
+    Emits stream_id, ord, name at each change; scenes without a name or 其他 don't count. After a row with reset
+    the same scene may be announced again. late: how much later than others a row may come.
+    """
+    resets = "reset" in frames.columns
+    rows = frames.select("stream_id", "ts", "ord", F.coalesce("name", F.lit("")).alias("name"), (F.coalesce("reset", F.lit(False)) if resets else F.lit(False)).alias("reset"))
+    rows = rows.filter(F.col("reset") | ~F.col("name").isin("", scenes.OTHER))
+    if late:
+        rows = rows.withWatermark("ts", late)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, ords, names, marks = state.get if state.exists else (None, [], [], [], [])
+        held = list(zip(at, ords, names, marks))
+        for b in batches:
+            held += zip(_micros(b["ts"]), map(int, b["ord"]), b["name"], map(bool, b["reset"]))
+        held.sort()
+        passed = state.getCurrentWatermarkMs() * 1000 if late else None
+        ready = [r for r in held if passed is None or r[0] < passed]
+        held = held[len(ready) :]
+        out = []
+        for _, ord_, name, reset in ready:
+            if name not in ("", scenes.OTHER) and name != last:
+                out.append((key[0], ord_, name))
+                last = name
+            last = None if reset else last
+        state.update((last, [r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [r[3] for r in held]))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["stream_id", "ord", "name"])
+
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, ord long, name string", "last string, at array<long>, ords array<long>, names array<string>, marks array<boolean>", "append", timeout)
 
 
 def last_values(accepted: DataFrame) -> DataFrame:
-    """accepted: vehicle long, field, value, ts, ord long. Emits vehicle, field, value, ord whenever a field's last value changes (update mode)."""
+    """accepted: vehicle long, field, value, ts, ord long, in any order. Emits vehicle, field, value, ord whenever a field's last value changes (update mode)."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = state.get if state.exists else None
@@ -52,9 +83,50 @@ def last_values(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("vehicle", "field").applyInPandasWithState(run, "vehicle long, field string, value string, ord long", "ts long, ord long, value string", "update", GroupStateTimeout.NoTimeout)
 
 
-def first_responses(responses: DataFrame, delay: str = "15 seconds") -> DataFrame:
-    """responses: request_id, arrival (timestamp) and more: the first that comes of each request; state is dropped after the delay."""
-    return responses.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["request_id"])
+def answers(rows: DataFrame, late: str = "15 seconds", seconds: int = requests.TIMEOUT_S, forget_s: int = 3600) -> DataFrame:
+    """rows: request_id string, kind (request or response), ts timestamp, ord long, text. Emits request_id, ts, ord, text, error_type once for each request.
+
+    That is its first response by (ts, ord), or a timeout where none has come so many seconds after the request; a
+    response without a request never times out. An answer is given when the watermark has passed it, so that no earlier
+    one can come. A request that was answered is remembered for forget_s seconds more: a response after that starts anew.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked, ts, ord_, text, done = state.get if state.exists else (None, None, None, None, False)
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut and done:
+            state.remove()
+            return
+        for b in batches:
+            for kind, t, o, said in zip(b["kind"], _micros(b["ts"]), map(int, b["ord"]), b["text"]):
+                if kind == "request":
+                    asked = t if asked is None else min(asked, t)
+                elif ts is None or (t, o) < (ts, ord_):
+                    ts, ord_, text = t, o, said
+        if done:
+            state.update((asked, ts, ord_, text, True))
+            state.setTimeoutTimestamp(now + forget_s * 1000)
+            return
+        due = asked + seconds * 1_000_000 if asked is not None else None
+        timed_out = due is not None and (ts is None or ts > due)
+        at = due if timed_out else ts
+        if at // 1000 < now:
+            state.update((asked, ts, ord_, text, True))
+            state.setTimeoutTimestamp(now + forget_s * 1000)
+            yield pd.DataFrame({"request_id": [key[0]], "ts": pd.to_datetime([at], unit="us"), "ord": pd.array([None if timed_out else ord_], "Int64"), "text": [requests.TIMEOUT_TEXT if timed_out else text], "error_type": ["TIMEOUT" if timed_out else None]})
+        else:
+            state.update((asked, ts, ord_, text, False))
+            state.setTimeoutTimestamp(at // 1000 + 1)
+
+    out = "request_id string, ts timestamp, ord long, text string, error_type string"
+    kept = rows.select("request_id", "kind", "ts", "ord", "text").withWatermark("ts", late)
+    return kept.groupBy("request_id").applyInPandasWithState(run, out, "asked long, ts long, ord long, text string, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_responses(responses: DataFrame, delay: str = "15 seconds", forget_s: int = 3600) -> DataFrame:
+    """responses: request_id, arrival timestamp, ord, text: of each request the first by (arrival, ord), once the watermark has passed it."""
+    rows = responses.select("request_id", F.lit("response").alias("kind"), F.col("arrival").alias("ts"), "ord", "text")
+    return answers(rows, delay, forget_s=forget_s).select("request_id", F.col("ts").alias("arrival"), "ord", "text")
 
 
 def sampled(values: DataFrame, every: str, late: str = "1 minute") -> DataFrame:
@@ -64,23 +136,46 @@ def sampled(values: DataFrame, every: str, late: str = "1 minute") -> DataFrame:
 
 
 class MemoryTable:
-    """Long-term memories as Parquet versions, one a micro-batch: a batch that runs again writes the same version."""
+    """Long-term memories as Parquet files in buckets of users. A micro-batch rewrites only the buckets that it touches, and
+    writes down which version of each bucket counts; a batch that runs again writes the same. Versions that neither the
+    last batch nor the one before reads are deleted."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _versions(self, number: int) -> dict[int, int]:
+        """Bucket -> the batch that wrote it last, as of the batch; one row a bucket."""
+        if number < 0:
+            return {}
+        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/versions/{number:010d}").collect()}
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def _files(self, versions: dict[int, int]) -> list[str]:
+        return [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
 
-    def version(self, number: int) -> str:
-        return f"{self.path}/v{number:010d}"
+    def _load(self, versions: dict[int, int]) -> DataFrame | None:
+        return self.spark.read.parquet(*self._files(versions)) if versions else None
 
     def read(self, number: int) -> DataFrame:
-        return self.spark.read.parquet(self.version(number))
+        """The memories as the batch left them."""
+        return self._load(self._versions(number))
 
     def merge(self, writes: DataFrame, number: int) -> None:
         """For foreachBatch. The old rows are writes, too: the latest of each key wins and the first dates it."""
-        new = memory.upsert(writes)
-        if number > 0:
-            key = memory.KEY
-            both = self.read(number - 1).unionByName(new)
-            latest = F.max(F.struct("updated_at", "ord", "value_text", "confidence", "access_count")).alias("w")
-            new = both.groupBy(*key).agg(latest, F.min("created_at").alias("created_at")).select(*key, "w.value_text", "w.confidence", "created_at", "w.updated_at", "w.ord", "w.access_count")
-        new.write.mode("overwrite").parquet(self.version(number))
+        own = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
+        new = memory.upsert(writes).withColumn("bucket", own)
+        new.persist()
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        before = self._versions(number - 1)
+        old = self._load({b: v for b, v in before.items() if b in touched})
+        both = new if old is None else new.unionByName(old.withColumn("bucket", own))
+        latest = F.max(F.struct("updated_at", "ord", "value_text", "confidence", "access_count")).alias("w")
+        merged = both.groupBy("bucket", *memory.KEY).agg(latest, F.min("created_at").alias("created_at")).select("bucket", *memory.KEY, "w.value_text", "w.confidence", "created_at", "w.updated_at", "w.ord", "w.access_count")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
+        after = before | {b: number for b in touched}
+        self.spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/{number:010d}")
+        new.unpersist()
+        needed = {*self._files(before), *self._files(after)}
+        for f in self._files(self._versions(number - 2)):
+            if f not in needed:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
