@@ -12,7 +12,6 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 def brute(rows, end_id=2):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     docs = [(i, t.encode(x or "", add_special_tokens=False).ids + [end_id]) for i, x in rows]
     docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, np.array(d[1], "<u2").tobytes()))
     out, at = [], 0
@@ -38,15 +37,34 @@ def test_files(spark):
     rows = [(rnd.choice([None, *range(60)]), rnd.choice([None, "", "".join(rnd.choices(words, k=rnd.randint(1, 300)))])) for _ in range(200)]
     rows += [(7, "same"), (7, "same"), (99, "long " * 20000)]
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "doc_id long, text string, start int")
-    got = [tuple(r) for r in repair.round_trip(df, JSON, public_tokenizers.PATTERN).orderBy("start").collect()]
+    got = [tuple(r) for r in repair.round_trip(df, JSON).orderBy("start").collect()]
     assert got == brute(rows)
-    ids = repair.round_trip(df, JSON, public_tokenizers.PATTERN, digest=False).orderBy("start").collect()
+    ids = repair.round_trip(df, JSON, digest=False).orderBy("start").collect()
     assert [zlib.crc32(r.ids) for r in ids] == [x[3] for x in got]
 
 
+def test_segments_against_the_library():
+    rnd, t, enc = random.Random(5), Tokenizer.from_file(JSON), repair.Encoder(JSON)
+    alphabet = ["a", "the", "'s", "'", "1", "\u00e9", "\u4f60", "!", ".", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "\u3000", "<|endoftext|>", "<|endof", "\U0001f600"]
+    texts = ["".join(rnd.choices(alphabet[: rnd.choice([10, 20, 23])], k=rnd.randint(0, 40))) for _ in range(4000)] + ["a <|endoftext|> b", "", " ", "\n", " a", "a "]
+    want = [np.array(x.ids, "<u2").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert enc.ids(texts) == want and enc.ids(texts) == want  # the second time from what is remembered
+    assert np.frombuffer(enc.ids(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
+def test_hot_ids_and_shards(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, 5, 5, k]), "".join(rnd.choices("abcd ", k=rnd.randint(0, 30)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    repair.write(df, JSON, 2, path := repair.shared_dir(spark), shards=8)
+    got = [tuple(r) for r in repair.read(spark, path, True).orderBy("start").collect()]
+    assert got == brute(rows)
+    assert spark.read.parquet(path).select("shard").distinct().count() > 8  # rows of one id and rows without are in several shards
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert repair.round_trip(df, JSON, public_tokenizers.PATTERN).count() == 0
+    assert repair.round_trip(df, JSON).count() == 0
 
 
 def test_grammar_goes_on_until_no_pair_is_frequent():
