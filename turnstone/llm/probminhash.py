@@ -14,9 +14,11 @@ components of links.
 Equal texts are one node, so copies are never compared. No bucket is expanded into
 pairs: its members are compared with one hub, that whose buckets are largest in sum, each
 member with the TOP hubs it meets most; then with the member of most links.
-Only buckets that still hold members of several components are compared in full,
-in blocks of BLOCK members, two blocks a task, of which only near pairs leave. So
-every pair that shares a bucket is either connected or was compared.
+Of buckets that still hold members of several components, those members go that no
+member of another component can be near to: too few of their shingles recur in texts of other
+components of open buckets, or none of the sizes in their bucket fits. That is done until hardly any goes. What is left
+is compared in full, in blocks of BLOCK members, two blocks a task, of which only near pairs leave. So
+every pair that shares a bucket is connected, can't be near or was compared.
 
 Size: 25 band rows a document, grouped with partial sums; buckets are joined by
 key, so Spark splits hot ones; shingle sets are kept for documents that share a
@@ -112,9 +114,9 @@ def _sets(keyed: DataFrame, m: int) -> DataFrame:
         for b in slices(batches, 1.0):
             docs = [weighted(t) for t in b.column(1).to_pylist()]
             sig = (signatures(docs, m) & np.uint64(0x7FFF)).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in docs], pa.binary()), pa.array([b"" if (w == 1).all() else w.astype("<u4").tobytes() for _, w in docs], pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(docs) * m + 1, m, dtype=np.int32), pa.array(sig.ravel()))], ["key", "set", "weights", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in docs], pa.binary()), pa.array([b"" if (w == 1).all() else w.astype("<u4").tobytes() for _, w in docs], pa.binary()), pa.array([int(w.sum()) for _, w in docs], pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(docs) * m + 1, m, dtype=np.int32), pa.array(sig.ravel()))], ["key", "set", "weights", "total", "sig"])
 
-    return keyed.select("key", "text").mapInArrow(run, "key binary, set binary, weights binary, sig array<short>")
+    return keyed.select("key", "text").mapInArrow(run, "key binary, set binary, weights binary, total long, sig array<short>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -167,8 +169,8 @@ def links(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     discard(open_, sweep=False)
     labels = more_links(labels, second)
 
-    # what is left: pairs across components, block against block
-    open_ = _open(members, labels)
+    # what is left: pairs across components that can be near, block against block
+    open_ = _reachable(_open(members, labels), sets, threshold)
     rest = stored(_across(open_, sets, threshold, bands * rows).join(tested.unionByName(more), ["a", "b"], "left_anti"))
     third = stored(_verified(rest, sets, threshold))
     out = stored(found.unionByName(second).unionByName(third))
@@ -177,6 +179,48 @@ def links(keyed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     return out, labels
 
 
+#: Members of open buckets are looked at again while at least this share of them goes.
+FALL = 0.05
+
+
+def _reachable(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """open_ (band, key, label) without the members that none of another label in their bucket can be near to.
+
+    If shingles of total weight shares x and y are common to two texts, their probability Jaccard is at most 1 / (1/x + 1/y - 1): each term is at most
+    1 / (1/p + (1 - y)/q), which is concave and homogeneous in the shares p and q of a shingle. For texts of distinct shingles that is common / (all - common), so that
+    the sizes tell how much must be common. No more can be common than what recurs under other labels.
+    """
+    most, tiny = 1 + 1 / threshold, 1e-9
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1.0):
+            made = [np.frombuffer(x, np.int64) for x in b.column("set").to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+            weight = np.concatenate([np.frombuffer(w, "<u4").astype(np.int32) if w else np.ones(len(x), np.int32) for w, x in zip(b.column("weights").to_pylist(), made)])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(own), b.column("label").take(own), pa.array(np.concatenate(made)), pa.array(weight)], ["key", "label", "shingle", "weight"])
+
+    while True:
+        before = open_.count()
+        if not before:
+            return open_
+        each = stored(open_.select("key", "label").distinct().join(sets.select("key", "set", "weights"), "key").mapInArrow(cut, "key binary, label binary, shingle long, weight int"))
+        recur = each.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
+        common = each.join(recur, "shingle", "left_semi").groupBy("key").agg(F.sum("weight").alias("common"))
+        share = sets.join(common, "key").select("key", (F.octet_length("weights") == 0).alias("plain"), F.col("total").alias("size"), (F.col("common") / F.col("total")).alias("share"))
+        share = stored(share.filter(F.col("share") >= threshold - tiny))
+        members = stored(open_.join(share, "key"))
+        buckets = members.groupBy("band").agg(F.min(F.when(F.col("plain"), F.col("size"))).alias("least"), F.max(F.when(~F.col("plain"), F.col("share"))).alias("odd"), F.max("share").alias("any"))
+        fits = lambda other: F.coalesce(1 / F.col("share") + 1 / F.col(other) <= most + tiny, F.lit(False))
+        plain = F.coalesce(F.col("least") <= F.col("size") * (most * F.col("share") - 1) + 1e-6, F.lit(False)) | fits("odd")
+        kept = stored(members.join(buckets, "band").filter(F.when(F.col("plain"), plain).otherwise(fits("any"))).select("band", "key", "label"))
+        several = kept.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+        left = stored(kept.join(several, "band"))
+        discard(open_, each, share, members, kept, sweep=False)
+        if left.count() > (1 - FALL) * before:
+            return left
+        open_ = left
+
+
 #: Weight up to which documents of a block are compared all at once.
 LEVELS = 5
 
@@ -202,14 +246,19 @@ def similarities(docs: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray
         both += part @ part.T
     size = np.bincount(row[plain], minlength=n).astype(np.float32)
     column = np.cumsum(heavy) - 1
-    dense = np.zeros((n, int(heavy.sum())), np.int64)
-    dense[row[~plain], column[place[~plain]]] = weight[~plain]
     levels = np.unique(np.r_[1, levels])
-    own = {a: (dense == a).astype(np.float32) for a in (0, *levels)}
-    met = {(a, b): own[a] @ own[b].T for a in own for b in own if a or b}
-    met[1, 1] = met[1, 1] + both
-    met[1, 0] = met[1, 0] + size[:, None] - both
-    met[0, 1] = met[0, 1] + size[None] - both
+    met = {(a, b): np.zeros((n, n), np.float32) for a in (0, *levels) for b in (0, *levels) if a or b}
+    row, column, weight = row[~plain], column[place[~plain]], weight[~plain]
+    for k in range(0, int(heavy.sum()), 1024):  # the others, a part at a time
+        lo, hi = np.searchsorted(column, [k, k + 1024])
+        dense = np.zeros((n, 1024), np.int64)
+        dense[row[lo:hi], column[lo:hi] - k] = weight[lo:hi]
+        own = {a: (dense == a).astype(np.float32) for a in (0, *levels)}
+        for a, b in met:
+            met[a, b] += own[a] @ own[b].T
+    met[1, 1] += both
+    met[1, 0] += size[:, None] - both
+    met[0, 1] += size[None] - both
     out = np.zeros((n, n))
     for a in levels:
         for b in levels:
