@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -85,6 +86,12 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+@lru_cache(1)
+def pieces_of(ranks_path: str, pattern: str) -> Pieces:
+    """One in a worker, for all its tasks."""
+    return Pieces(read_ranks(ranks_path), pattern)
+
+
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     return [text[i : i + size + overlap] for i in range(0, max(len(text), 1), size)]
 
@@ -114,7 +121,7 @@ def stitch(pattern: regex.Pattern, parts: list[tuple[str, np.ndarray]], size: in
             k += 1
             continue
         # no common boundary in the overlap: go on token by token over the joined chunks until a later chunk agrees
-        upto, known, joined = k, {}, chunk
+        upto, known, joined = k, {}, chunk  # joined: chunks k to upto
         more: list[str] = []
         while True:
             met = None
@@ -128,11 +135,11 @@ def stitch(pattern: regex.Pattern, parts: list[tuple[str, np.ndarray]], size: in
                     break
             if met is not None or upto + 1 == len(parts):
                 break
-            for _ in range(max(1, upto - k)):  # twice as far each time: a run of any length is read a few times at most
-                if upto + 1 < len(parts):
-                    upto += 1
-                    joined = joined[: (upto - k) * size] + parts[upto][0]
-                    known |= {int(e) + upto * size: upto for e in parts[upto][1]}
+            far = min(len(parts) - 1, upto + max(1, upto - k))  # twice as far each time: a run of any length is read and copied a few times at most
+            more_chunks = [parts[j][0] if j == far else parts[j][0][:size] for j in range(upto + 1, far + 1)]
+            joined = "".join([joined[: (upto + 1 - k) * size], *more_chunks])
+            known |= {int(e) + j * size: j for j in range(upto + 1, far + 1) for e in parts[j][1]}
+            upto = far
             if (met := known.get(at)) is not None:
                 break
         yield more
@@ -141,19 +148,23 @@ def stitch(pattern: regex.Pattern, parts: list[tuple[str, np.ndarray]], size: in
         k = met
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids: binary of little-endian unsigned 32-bit ids, one row for each row of df.
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
+    """doc_id, ids: binary of little-endian unsigned 32-bit ids, one row for each row of df; with digest what digests() makes of them instead.
 
     Texts of one chunk are encoded where they are read, so only the chunks of
     longer ones are dealt out. The second exchange brings the chunks of a
     document together in order; they are read as a stream.
     """
     docs = key_and_text(df, id_col, text_col)
+    schema = DIGESTS if digest else "doc_id long, ids binary"
+
+    def made(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        return digested(doc_ids, ids, ranks_path) if digest else pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     def one_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pieces = pretokens(pattern), Pieces(read_ranks(ranks_path), pattern)
+        find, pieces = pretokens(pattern), pieces_of(ranks_path, pattern)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.ids(find(t)) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            yield made(b.column(0), [pieces.ids(find(t)) for t in b.column(1).to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +181,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(ends, pa.binary())], ["doc_id", "key", "k", "chunk", "ends"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pat, pieces = regex.compile(pattern), Pieces(read_ranks(ranks_path), pattern)
+        pat, pieces = regex.compile(pattern), pieces_of(ranks_path, pattern)
         rows = (r for b in batches for r in zip(*(b.column(j).to_pylist() for j in range(5))))
         for (i, _), own in groupby(rows, key=lambda r: r[:2]):
             parts, copies = [], 0
@@ -180,13 +191,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     parts.append((r[3], np.frombuffer(r[4], "<i4").astype(np.int64)))
             ids = b"".join(pieces.ids(p) for p in stitch(pat, parts, size))
             for _ in range(copies):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ids], pa.binary())], ["doc_id", "ids"])
+                yield made(pa.array([i], pa.int64()), [ids])
 
-    whole = docs.filter(F.length("text") <= size).mapInArrow(one_chunk, "doc_id long, ids binary")
+    whole = docs.filter(F.length("text") <= size).mapInArrow(one_chunk, schema)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.filter(F.length("text") > size).mapInArrow(cut, "doc_id long, key binary, k long, last boolean, chunk string").repartition(n, "doc_id", "key", "k")
     ready = dealt.mapInArrow(pretokenise, "doc_id long, key binary, k long, chunk string, ends binary")
-    long = ready.repartition(n, "doc_id", "key").sortWithinPartitions("doc_id", "key", "k").mapInArrow(encoded, "doc_id long, ids binary")
+    long = ready.repartition(n, "doc_id", "key").sortWithinPartitions("doc_id", "key", "k").mapInArrow(encoded, schema)
     return whole.unionByName(long)
 
 
@@ -201,24 +212,37 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+@lru_cache(1)
 def raw_bytes(ranks_path: str) -> Callable[[np.ndarray], bytes]:
     table = {v: k for k, v in read_ranks(ranks_path).items()}
     return lambda ids: b"".join(map(table.__getitem__, ids.tolist()))
 
 
+@lru_cache(1)
+def names_of(ranks_path: str) -> dict[int, str]:
+    return {v: str(v) for v in read_ranks(ranks_path).values()}
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digested(doc_ids: pa.Array, ids: list[bytes], ranks_path: str) -> pa.RecordBatch:
+    """A row of DIGESTS for each document: of its ids, and of the bytes that they decode to."""
+    raw, name = raw_bytes(ranks_path), names_of(ranks_path).__getitem__
+    counts, of_ids, of_text = [], [], []
+    for x in ids:
+        own = np.frombuffer(x, "<u4")
+        counts.append(len(own))
+        of_ids.append(hashlib.sha256(",".join(map(name, own.tolist())).encode()).hexdigest())
+        of_text.append(hashlib.sha256(raw(own)).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode returns, decoded as in decode but not kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = raw_bytes(ranks_path)
-        names = {v: str(v) for v in read_ranks(ranks_path).values()}
         for b in slices(batches):
-            counts, of_ids, of_text = [], [], []
-            for x in b.column(1).to_pylist():
-                ids = np.frombuffer(x, "<u4")
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
-                of_text.append(hashlib.sha256(raw(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield digested(b.column(0), b.column(1).to_pylist(), ranks_path)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, DIGESTS)
