@@ -33,3 +33,23 @@ def test_cases(spark):
     none = c.fit(docs, labels.limit(0), F.lit(True))
     assert {r.score for r in c.score(docs, none).collect()} == {0.5}
     assert c.score(docs.limit(0), none).count() == 0
+
+
+def test_scores_against_the_formula(spark):
+    """Every score from the two dictionaries by the zstandard library alone, texts of any length."""
+    import math
+
+    import zstandard
+
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choices(["alpha", "beta", "gamma", "delta", "über"] if k % 2 else ["#$%", "&&&", "***", "buy now"], k=rnd.randint(1, 60)))) for k in range(120)]
+    rows += [(200, "alpha beta " * 100_000), (201, "#$% " * 200_000), (202, None), (203, ""), (204, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = c.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int"), F.lit(True))
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw))
+    got = {r.doc_id: r.score for r in c.score(docs, model).collect()}
+    for k, text in rows:
+        raw = (text or "").encode()
+        a, b = (size(raw, model.good), size(raw, model.bad)) if raw else (1, 1)
+        assert abs(got[k] - 1 / (1 + math.exp(-(model.slope * (b - a) / max(a, b) + model.offset)))) < 1e-9, k
+    assert got[200] > 0.5 > got[201]

@@ -160,3 +160,16 @@ def test_table(spark):
         d = next(x for x in out if x.doc_id == r.doc_id)
         assert d.feature == media.feature(t) and d.media_sha256 == hashlib.sha256(r.media).hexdigest() and d.media_bytes == len(r.media)
     assert media.digests(media.encode(df.limit(0))).count() == 0
+
+
+def test_stored_media_and_tensors(spark, tmp_path):
+    rows = [(k, x.decode("latin-1")) for k, x in enumerate(RAW)]
+    kept = media.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/media")
+    assert sorted(kept.columns) == ["doc_id", "media", "n_bytes"]
+    tensors = {r.doc_id: r for r in media.write_tensors(kept, f"file://{tmp_path}/tensors").collect()}
+    found = {r.doc_id: r for r in media.digests(kept).collect()}
+    assert set(tensors) == set(found) == {k for k, _ in rows}
+    for k, text in rows:
+        r, d = tensors[k], found[k]
+        t = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        assert r.payload == media.padded(text.encode()) and d.payload_sha256 == hashlib.sha256(r.payload).hexdigest() and d.feature == media.feature(t)

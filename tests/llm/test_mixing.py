@@ -75,3 +75,21 @@ def test_rows_whole_and_empty(spark):
     assert out.select("row.*").columns == df.columns and sorted(r.doc_id for r in out.select("row.*").collect())[:2] == [1, 1]
     assert m.mix(df.limit(0), LEVELS(), {}, 1.0).count() == 0
     assert m.mix(df.filter("text is null"), LEVELS(), {}, 1.0).count() == 0
+
+
+def test_the_sql_has_the_same_words(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from turnstone.llm import catalog
+
+    texts = ["a b", "a\x0bb", "a\x0cb", "a\rb", "a\x1cb", "a\x85b", "a\u00a0b", "a-b c", None, "", "\t\n a  b\r\n"]
+    rows = [{"doc_id": k, "text": t, "lang": "en", "source": f"s{k % 3}", "n_chars": 1} for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist(rows))
+    cur = con.execute(catalog.oracle_sql()["op4_mixing"])
+    names = [c[0] for c in cur.description]
+    want = sorted(str(tuple(r[names.index(c)] for c in ("doc_id", "epoch", "n_tokens"))) for r in cur.fetchall())
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = m.mix(df, catalog.mix_levels(), catalog.MIX_WEIGHTS, catalog.MIX_SHARE, catalog.MIX_SEED, catalog.MIX_EPOCHS).select(F.col("row.doc_id").alias("doc_id"), "epoch", "n_tokens")
+    assert sorted(str(tuple(r)) for r in out.collect()) == want

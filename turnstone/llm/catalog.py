@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, media, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
-from .common import stored, table
+from .common import shared_dir, stored, table
 
 def multilingual_ranks() -> tuple[str, str]:
     """Path of the ranks, and the pattern that goes with them."""
@@ -19,11 +19,11 @@ def multilingual_ranks() -> tuple[str, str]:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = multilingual_ranks()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, digest=True)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.encode(table(spark, sf_dir, "documents")))
+    return media.digests(media.write(table(spark, sf_dir, "documents"), shared_dir(spark)))
 
 
 def op3_qualityrules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: verdict, host, beginning of the path
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Hosts blocked with their subdomains where no rule fits.
-BLOCKED_HOSTS = ["adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
+BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
 def op5_urlcascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op9_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,8 +111,7 @@ def _mixing_sql() -> str:
             b{k} AS (SELECT {own}, tokens, supply, CASE WHEN level_x IS NULL THEN supply::DOUBLE ELSE least(supply::DOUBLE, level_x * w) END AS budget FROM y{k})""")
     return rf"""
         WITH d AS (SELECT doc_id, ['{"', '".join(DOMAINS)}'][coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % {len(DOMAINS)} + 1] AS domain, lang, source,
-                          len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS n_tokens FROM documents),
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
         leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {",".join(steps)},
         plan AS (SELECT domain, lang, source, (floor(least(budget, supply) + 1e-6)::BIGINT // tokens)::BIGINT AS whole, (floor(least(budget, supply) + 1e-6)::BIGINT % tokens)::BIGINT AS rest FROM b2 WHERE tokens > 0),
         placed AS (SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id) - n_tokens AS before FROM d JOIN plan USING (domain, lang, source))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    Read from ``spark.checkpoint.dir``; only where that is unset and driver and
+    executors are one process (tests) a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -79,11 +83,21 @@ def key_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_mb: float = 2.0) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about that size, so that what is made of a batch stays small."""
-    for b in batches:
-        step = max(1, int(b.num_rows * most_mb * 1e6 / max(b.nbytes, 1)))
-        for k in range(0, b.num_rows, step):
-            yield b.slice(k, step)
+    """The same rows in batches of about that size, so that what is made of a batch stays small. At the end the worker gives back what it no longer needs: it lives on for other tasks."""
+    try:
+        for b in batches:
+            step = max(1, int(b.num_rows * most_mb * 1e6 / max(b.nbytes, 1)))
+            for k in range(0, b.num_rows, step):
+                yield b.slice(k, step)
+    finally:
+        b = None
+        pa.default_memory_pool().release_unused()
+        if TRIM is not None:
+            TRIM(0)
+
+
+#: Of the GNU C library: hands unused memory back to the system.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,20 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return key_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table that encode() makes, written to path and read from there."""
+    made = encode(df, id_col, text_col)
+    made.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def write_tensors(media: DataFrame, path: str) -> DataFrame:
+    """The table that decode() makes (payloads and full-resolution RGB tensors), written to path and read from there."""
+    made = decode(media)
+    made.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(made.schema).parquet(path)
+
+
 def decode(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload (read back from media), height, width, rgb (samples row by row)."""
 
