@@ -89,3 +89,29 @@ def test_scene_tools(spark):
 def test_texts(spark):
     assert spark.range(1).select(text.with_vision_warning(F.lit("x")).alias("t")).first().t.startswith("x（")
     assert spark.range(1).select(text.elapsed_ms(F.lit(1), F.lit(2_999_999)).alias("t")).first().t == 2
+
+
+def test_documents_and_replaced_lists(spark, tmp_path):
+    from turnstone.streaming.stateful import MessageTable
+
+    (tmp_path / "docs" / "sub").mkdir(parents=True)
+    (tmp_path / "docs" / "a.txt").write_text("你好\nb")
+    (tmp_path / "docs" / "sub" / "c.md").write_text("")
+    got = {r.document: r.body for r in tables.documents_at(spark, str(tmp_path / "docs")).collect()}
+    assert got["a.txt"] == "你好\nb" and got.get("c.md", "") == ""
+
+    table = MessageTable(spark, str(tmp_path / "lists"), 4)
+    write = lambda rows, n: table.merge(spark.createDataFrame(rows, "memory_id string, messages_json string, ord long"), n)
+    write([("a", "[1]", 1), ("b", "[2]", 1), ("a", "[3]", 2)], 0)
+    write([("b", "[4]", 1), ("c", "[5]", 1)], 1)
+    write([("b", "[4]", 1), ("c", "[5]", 1)], 1)  # again
+    assert sorted((r.memory_id, r.messages_json) for r in table.read(1).collect()) == [("a", "[3]"), ("b", "[4]"), ("c", "[5]")]
+
+
+def test_spans_are_written_in_batches(spark, tmp_path):
+    from turnstone.streaming import stateful
+
+    spark.range(200).selectExpr("cast(id as string) AS span_id", "'x' AS name").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.files(spark, str(tmp_path / "in"), "span_id string, name string")
+    stateful.exported(stream, str(tmp_path / "out"), str(tmp_path / "c"), once=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 200 and len(list((tmp_path / "out").glob("part-*"))) == 4

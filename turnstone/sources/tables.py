@@ -25,6 +25,12 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("template"), F.col("value").alias("body"))
 
 
+def documents_at(spark: SparkSession, path: str) -> DataFrame:
+    """path, document (file name), body: one row for each UTF-8 text file under a folder."""
+    read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("document"), F.col("value").alias("body"))
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """path, content, and its base64 text, of image files."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.base64("content").alias("base64"))

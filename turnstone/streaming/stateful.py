@@ -135,14 +135,31 @@ def sampled(values: DataFrame, every: str, late: str = "1 minute") -> DataFrame:
     return values.withWatermark("ts", late).groupBy("prop", "area_id", w.alias("w")).agg(F.max(F.struct("ts", "ord", "value")).alias("v")).select("prop", "area_id", F.col("w.start").alias("slot"), "v.value", "v.ord")
 
 
-class MemoryTable:
-    """Long-term memories as Parquet files in buckets of users. A micro-batch rewrites only the buckets that it touches, and
+def exported(spans: DataFrame, path: str, checkpoint: str, every: str = "2 seconds", rows_per_file: int = 64, once: bool = False):
+    """Start to write a stream of spans in batches, one at each tick; once: what there is, then stop."""
+    out = spans.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file).outputMode("append")
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
+
+
+class BucketTable:
+    """A table as Parquet files in buckets of a key. A micro-batch rewrites only the buckets that it touches, and
     writes down which version of each bucket counts; a batch that runs again writes the same. Versions that neither the
     last batch nor the one before reads are deleted."""
 
+    #: Column whose hash tells the bucket.
+    by = "key"
+
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
 
+    def prepared(self, writes: DataFrame) -> DataFrame:
+        """The rows that a batch brings."""
+        return writes
+
+    def merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """What becomes of old rows and prepared() ones."""
+        raise NotImplementedError
+
     def _versions(self, number: int) -> dict[int, int]:
         """Bucket -> the batch that wrote it last, as of the batch; one row a bucket."""
         if number < 0:
@@ -156,21 +173,19 @@ class MemoryTable:
         return self.spark.read.parquet(*self._files(versions)) if versions else None
 
     def read(self, number: int) -> DataFrame:
-        """The memories as the batch left them."""
+        """The table as the batch left it."""
         return self._load(self._versions(number))
 
     def merge(self, writes: DataFrame, number: int) -> None:
-        """For foreachBatch. The old rows are writes, too: the latest of each key wins and the first dates it."""
-        own = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
-        new = memory.upsert(writes).withColumn("bucket", own)
+        """For foreachBatch."""
+        own = F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
+        new = self.prepared(writes).withColumn("bucket", own)
         new.persist()
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]
         before = self._versions(number - 1)
         old = self._load({b: v for b, v in before.items() if b in touched})
-        both = new if old is None else new.unionByName(old.withColumn("bucket", own))
-        latest = F.max(F.struct("updated_at", "ord", "value_text", "confidence", "access_count")).alias("w")
-        merged = both.groupBy("bucket", *memory.KEY).agg(latest, F.min("created_at").alias("created_at")).select("bucket", *memory.KEY, "w.value_text", "w.confidence", "created_at", "w.updated_at", "w.ord", "w.access_count")
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
+        rows = self.merged(new.limit(0) if old is None else old.withColumn("bucket", own), new)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
         after = before | {b: number for b in touched}
         self.spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/{number:010d}")
         new.unpersist()
@@ -179,3 +194,29 @@ class MemoryTable:
             if f not in needed:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(f)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class MemoryTable(BucketTable):
+    """Long-term memories: the latest write of each key wins and the first dates it."""
+
+    by = "user_id"
+
+    def prepared(self, writes: DataFrame) -> DataFrame:
+        return memory.upsert(writes)
+
+    def merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        latest = F.max(F.struct("updated_at", "ord", "value_text", "confidence", "access_count")).alias("w")
+        rows = old.unionByName(new).groupBy("bucket", *memory.KEY).agg(latest, F.min("created_at").alias("created_at"))
+        return rows.select("bucket", *memory.KEY, "w.value_text", "w.confidence", "created_at", "w.updated_at", "w.ord", "w.access_count")
+
+
+class MessageTable(BucketTable):
+    """Packed message lists (memory_id, messages_json): a list replaces the one before it as a whole. Of several in one batch the last counts (column ord)."""
+
+    by = "memory_id"
+
+    def prepared(self, writes: DataFrame) -> DataFrame:
+        return writes.groupBy("memory_id").agg(F.max_by("messages_json", "ord").alias("messages_json"))
+
+    def merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.join(new.select("memory_id"), "memory_id", "left_anti").unionByName(new)
