@@ -131,3 +131,39 @@ def test_first_response_and_scenes(spark):
 
 def test_null_attributes_are_skipped(spark):
     assert one(spark, spans.attributes(a__b=F.lit(1), c=F.lit(None).cast("string"))) == {"a.b": "1"}
+
+
+def test_personas():
+    import pytest
+
+    from turnstone.operators import personas
+
+    chat, scene, vision = (personas.PERSONAS[k] for k in ("chat", "scene", "vision_qa"))
+    assert (chat.iterations, chat.window, chat.timeout_s, chat.tools, chat.ends_on) == (10, 50, 30, None, ("no_calls", "vetoed"))
+    assert (scene.iterations, scene.timeout_s, scene.memory, scene.model) == (2, 20, "EPHEMERAL", "qwen-flash")
+    assert (vision.iterations, vision.window, vision.memory, vision.tools, vision.before) == (1, 2, "NONE", "none", ())
+    assert personas.Persona("x", "p", "").model == "unknown"
+    for bad in ({"name": "", "prompt": "p"}, {"name": "x", "prompt": ""}, {"name": "x", "prompt": "p", "ends_on": ()}):
+        with pytest.raises(ValueError):
+            personas.Persona(**bad)
+
+
+def test_a_turn_without_a_message_is_not_extracted(spark):
+    from turnstone.operators import memory, safety
+
+    turns = spark.createDataFrame([(1, "u", "", 1), (2, "u", None, 2), (3, "u", "暖一点", 3)], "turn_id long, user_id string, user_message string, ts long")
+    said = spark.createDataFrame([(k, f'[{{"category":"preference","key":"temperature","value":"{k}","confidence":0.9}}]') for k in (1, 2, 3)], "turn_id long, model_output string")
+    assert [(r.value_text, r.ord.turn_id) for r in memory.extracted(turns, said).collect()] == [("3", 3)]
+    rows = spark.createDataFrame(_dialog(8), "memory_id string, seq long, type string, text string")
+    summary = spark.createDataFrame([("c", "s")], "memory_id string, summary string")
+    stored, after = memory.turn_completed(turns, said, rows, summary, messages.Compaction(tokens=100))
+    assert stored.count() == 1 and after.count() == 12
+    assert one(spark, safety.chain(safety.allow_all(), F.lit("no"))) == "no"
+
+
+def test_listeners_beyond_the_broadcast_bound(spark):
+    when = lambda x: F.col(x).cast("timestamp_ntz")
+    who = spark.createDataFrame([("a", "2024-01-01 10:00:00", None), ("b", "2024-01-02", "2024-01-02 12:00:00"), ("c", "2025-01-01", None), ("d", "2024-01-03", "2024-01-02")], "listener string, since string, until string").withColumns({c: when(c) for c in ("since", "until")})
+    r = spark.createDataFrame([(1, "2024-01-01 09:00:00"), (2, "2024-01-02 11:00:00"), (3, "2024-01-02 12:00:00"), (4, "2024-02-01")], "response long, arrival string").withColumn("arrival", when("arrival"))
+    few, many = (sorted((x.response, x.listener) for x in requests.fan_out(r, who, most).collect()) for most in (10, 2))
+    assert few == many == [(2, "a"), (2, "b"), (3, "a"), (4, "a")]

@@ -134,3 +134,13 @@ def http_error(status: Column) -> Column:
 
 def with_vision_warning(text: Column) -> Column:
     return F.concat(text, F.lit(VISION_WARNING))
+
+
+def base64_plain(content: Column) -> Column:
+    """Base64 in one line, whether or not the session chunks it."""
+    return F.regexp_replace(F.base64(content), "[\r\n]", "")
+
+
+def base64_lines(content: Column) -> Column:
+    """Base64 in lines of 76 characters, each with its end, as the device's default form is."""
+    return F.regexp_replace(base64_plain(content), "(.{1,76})", "$1\n")

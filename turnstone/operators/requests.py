@@ -65,6 +65,11 @@ def terminated(no_calls: Column, vetoed: Column, exhausted: Column, mode: str =
     return (no_calls | vetoed | exhausted) if mode == "any" else (no_calls & vetoed & exhausted)
 
 
+def collected(answers: DataFrame) -> DataFrame:
+    """run_id, success, text, iterations_used, duration_ms of answers (run_id, iteration from 0, text, started_ms, now_ms): the answer as it is."""
+    return answers.select("run_id", F.lit(True).alias("success"), "text", (F.col("iteration") + 1).alias("iterations_used"), (F.col("now_ms") - F.col("started_ms")).alias("duration_ms"))
+
+
 def busy(runs: DataFrame) -> DataFrame:
     """Runs (agent, start, end, ord) with rejected: whether one that began before is still going on."""
     order = Window.partitionBy("agent").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)

@@ -545,6 +545,17 @@ def geocode_lookup(spark, d):
     return requests.located(load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("address")), cities).select("c_custkey", "adcode")
 
 
+@query(f"SELECT event_id AS run_id, true AS success, event_type AS text, CAST({SQL_K} AS INTEGER) % 10 + 1 AS iterations_used, CAST({SQL_K} AS INTEGER) * 7 AS duration_ms FROM events")
+def run_collected(spark, d):
+    k = K().cast("int")
+    return requests.collected(load(spark, d, "events").select(F.col("event_id").alias("run_id"), (k % 10).alias("iteration"), F.col("event_type").alias("text"), k.alias("started_ms"), (k * 8).alias("now_ms")))
+
+
+@query("SELECT doc_id, regexp_replace(to_base64(encode(text)), '(.{1,76})', '\\1' || chr(10), 'g') AS content FROM documents")
+def image_base64(spark, d):
+    return load(spark, d, "documents").select("doc_id", text.base64_lines(F.col("text").cast("binary")).alias("content"))
+
+
 # ---- redaction and text
 
 _PHONE = r"((?:\+86)?1[3-9]\d)\d{4}(\d{4})"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Canonical schemas for tables that callers bring along.
 MESSAGES = "memory_id string, seq bigint, type string, text string, tool_name string, tool_calls array<struct<id:string,name:string,arguments:string>>"
 MEMORY_EVENTS = "user_id string, category string, key_text string, value_text string, confidence double, ts timestamp, ord bigint"
@@ -33,7 +35,7 @@ def documents_at(spark: SparkSession, path: str) -> DataFrame:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """path, content, and its base64 text, of image files."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", F.base64("content").alias("base64"))
+    return spark.read.format("binaryFile").load(path).select("path", "content", text.base64_plain(F.col("content")).alias("base64"))
 
 
 def packed_messages(packed: DataFrame) -> DataFrame:
