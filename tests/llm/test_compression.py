@@ -52,4 +52,4 @@ def test_scores_against_the_formula(spark):
         raw = (text or "").encode()
         a, b = (size(raw, model.good), size(raw, model.bad)) if raw else (1, 1)
         assert abs(got[k] - 1 / (1 + math.exp(-(model.slope * (b - a) / max(a, b) + model.offset)))) < 1e-9, k
-    assert got[200] > 0.5 > got[201]
+    assert got[15] > 0.5 > got[14]
