@@ -116,7 +116,8 @@ def members(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     out, left, turn = np.full(len(keys), -1, np.int32), np.arange(len(chosen), dtype=np.int32), 0
     open_ = None  # places of keys that may still be found; None: all
     while len(left):
-        hashed = lambda k: ((k ^ (k >> 29) ^ turn) * (0x9E3779B1 + 2 * turn) >> 12) & 0xFFFFF  # noqa: B023, E731
+        factor, fold = keys.dtype.type(0x9E3779B1 + 2 * turn), keys.dtype.type(29 if keys.itemsize == 8 else 15)
+        hashed = lambda k: (((k ^ (k >> fold)) * factor) >> keys.dtype.type(12)) & keys.dtype.type(0xFFFFF)  # noqa: B023, E731
         slot = np.full(1 << 20, -1, np.int32)
         taken = hashed(chosen[left])
         slot[taken] = left
@@ -136,7 +137,7 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, rounds: int | None = None, le
     ends: where each document, none of them empty, ends in symbols. rounds: at most so many; None goes on until no pair is frequent enough.
     After a round each pair that was frequent is gone, and no other can have become so but with a symbol made in it, so only those are counted again.
     """
-    seq, rules = symbols.astype(np.int64), [np.empty((0, 2), np.int64)]
+    seq, rules = symbols.astype(np.int32), [np.empty((0, 2), np.int64)]
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     made, before = 0, 0
@@ -145,10 +146,16 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, rounds: int | None = None, le
         if turn:
             new = seq >= BASE + before
             inner &= new[:-1] | new[1:]
-        at = np.flatnonzero(inner)
+            at = np.flatnonzero(inner)
+            keys = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+            half = 32
+        else:  # two ids make a number of 32 bits
+            wide = seq.view(np.uint32)
+            at = np.flatnonzero(inner)
+            keys = ((wide[:-1] << np.uint32(16)) | wide[1:])[inner]
+            half = 16
         if not len(at):
             break
-        keys = (seq[at] << 32) | seq[at + 1]
         ranked = np.sort(keys)
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         chosen = ranked[first[np.diff(np.r_[first, len(ranked)]) >= least]]
@@ -156,7 +163,7 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, rounds: int | None = None, le
             break
         rule = members(keys, chosen)
         hit = rule >= 0
-        at, rule = at[hit], rule[hit]
+        at, rule, chosen = at[hit], rule[hit], chosen.astype(np.int64)
         # of places next to each other take the first, third, ...
         opens = np.r_[True, np.diff(at) != 1]
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
@@ -164,7 +171,7 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, rounds: int | None = None, le
         used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
         number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
-        rules.append(np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], 1))
+        rules.append(np.stack([chosen[used] >> half, chosen[used] & ((1 << half) - 1)], 1))
         before = made
         seq[at] = BASE + made + number[rule]
         last[at] = last[at + 1]
@@ -172,7 +179,7 @@ def grammar(symbols: np.ndarray, ends: np.ndarray, rounds: int | None = None, le
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-    return seq, np.flatnonzero(last) + 1, np.concatenate(rules)
+    return seq.astype(np.int64), np.flatnonzero(last) + 1, np.concatenate(rules)
 
 
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
