@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, media, mixing, passages, probminhash, qualityrules, repair, tokencount, urlcascade
+from . import bpe, compression, divergence, media, mixing, passages, probminhash, qualityrules, repair, sortmeans, tokencount, urlcascade
 from .common import shared_dir, stored, table
 
 def multilingual_ranks() -> tuple[str, str]:
@@ -85,12 +85,66 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Clusters, rounds, seed of the starts' hashes.
+CLUSTERS, ROUNDS, CLUSTER_SEED = 8, 10, 3
+
+
+def op11_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.report(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, CLUSTER_SEED)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _mixing_sql(), "op5_urlcascade": _url_sql()}
+    return {"op4_mixing": _mixing_sql(), "op5_urlcascade": _url_sql(), "op11_sortmeans": _cluster_sql(), "op13_divergence": _divergence_sql()}
+
+
+def _cluster_sql() -> str:
+    """Plain k-means, a component a row."""
+    steps = []
+    for k in range(ROUNDS + 1):
+        steps.append(f"""
+            n{k} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place
+                                  FROM (SELECT r, c, sum((x - m) * (x - m)) AS d FROM x JOIN c{k} USING (i) GROUP BY r, c)) WHERE place = 1)""")
+        if k < ROUNDS:
+            steps.append(f"""
+            c{k + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, m)::BIGINT AS m FROM c{k} LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM n{k} JOIN x USING (r) GROUP BY c, i) USING (c, i))""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+                                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        x AS MATERIALIZED (SELECT r, i, floor(1024 * e::DOUBLE)::BIGINT AS x FROM (SELECT r, unnest(embedding) AS e, unnest(range(64)) AS i FROM v)),
+        first AS (SELECT r, row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || vec_id) NULLS LAST, embedding) - 1 AS c FROM v),
+        c0 AS MATERIALIZED (SELECT c, i, x AS m FROM first JOIN x USING (r) WHERE c < {CLUSTERS}), {",".join(steps)},
+        marks AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM n{ROUNDS} JOIN v USING (r) JOIN marks USING (c)"""
+
+
+def _divergence_sql() -> str:
+    """Shares of every kept term in every group, joined by term."""
+    least, top, unit, more = divergence.LEAST_DOCS, divergence.TOP, divergence.UNIT, divergence.SMOOTHING
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {least}),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+        f AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS MATERIALIZED (SELECT lang, source, term, n, (1 + ({unit}::HUGEINT * (n + {more})) // (sum(n) OVER s + {more} * count(*) OVER s))::BIGINT AS p,
+                     (1 + ({unit}::HUGEINT * (total + {more})) // (sum(total) OVER s + {more} * count(*) OVER s))::BIGINT AS q FROM f WINDOW s AS (PARTITION BY lang, source)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) v
+                 ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+        own AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+                   UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM own) WHERE rank <= {top})
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked"""
 
 
 def _mixing_sql() -> str:
