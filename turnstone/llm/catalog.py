@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, divergence, media, mixing, passages, probminhash, qualityrules, repair, sortmeans, tokencount, urlcascade
+from . import bpe, compression, divergence, media, mixing, passages, personal, probminhash, qualityrules, repair, sortmeans, tokencount, urlcascade
 from .common import shared_dir, stored, table
 
 def multilingual_ranks() -> tuple[str, str]:
@@ -93,6 +93,10 @@ def op11_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortmeans.report(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, CLUSTER_SEED)
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
