@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import occupancy
+
 # Names, prefix and limits that results must match.
 INPUT_TYPES = ["TEXT", "IMAGE", "VOICE", "CONTROL"]
 COMMANDS, COMMAND_PREFIX = ["StartListen", "StopListen", "ClearChatMemory"], r"^@#%\^"
@@ -71,9 +73,8 @@ def collected(answers: DataFrame) -> DataFrame:
 
 
 def busy(runs: DataFrame) -> DataFrame:
-    """Runs (agent, start, end, ord) with rejected: whether one that began before is still going on."""
-    order = Window.partitionBy("agent").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("rejected", F.coalesce(F.max("end").over(order) > F.col("start"), F.lit(False)))
+    """Runs (agent, start, end, ord) with rejected: whether one that began before is still going on. A rejected run never began and keeps nobody waiting."""
+    return occupancy.accepted(runs, "agent", "start", "end", "ord").withColumn("rejected", ~F.col("accepted")).drop("accepted")
 
 
 #: Listeners up to which they are broadcast; beyond, responses meet them by day.

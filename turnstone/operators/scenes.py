@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import occupancy
+
 # Scenes, their tools and their actions.
 OTHER = "其他"
 SCENES = ["雨雪天气", "工程施工", "舱外浓烟", "驾驶员疲劳", "乘客休息"]
@@ -49,9 +51,16 @@ def latest(frames: DataFrame, *key: str) -> DataFrame:
     return frames.groupBy(*key).agg(F.max(F.struct("ts", "ord", *rest)).alias("f")).select(*key, "f.*")
 
 
-def admitted(frames: DataFrame, busy: Column) -> DataFrame:
-    """All frames with processed: whether the scene is looked at. Frames that come while the service is busy are only stored."""
-    return frames.withColumn("processed", ~busy)
+def admitted(frames: DataFrame, occupied: DataFrame, until: Column) -> DataFrame:
+    """All frames (stream_id, ts, ord) with processed: whether the scene is looked at.
+
+    Not while the service answers a request or speaks (occupied: stream_id, since, until), nor while it still looks at an
+    earlier frame, which it does until ``until``. Frames that come meanwhile are only stored and occupy nothing.
+    """
+    rows = occupancy.during(frames, occupied, "stream_id", "ts", "_occupied").withColumn("_until", until)
+    looked = occupancy.accepted(rows.filter("not _occupied"), "stream_id", "ts", "_until", "ord", "processed")
+    stored = rows.filter("_occupied").withColumn("processed", F.lit(False))
+    return looked.unionByName(stored).select(*frames.columns, "processed")
 
 
 def whitelist(spark: SparkSession) -> DataFrame:

@@ -447,10 +447,24 @@ def frame_latest(spark, d):
     return scenes.latest(v_frame(spark, d), "stream_id").drop("ts")
 
 
-@query("SELECT ord, NOT (k % 10 = 0 OR k % 10 = 1 OR k > 90) AS processed FROM v_frame")
+def _in_turn(free: str, key: str) -> str:
+    """Sequential acceptance in SQL: rows n = 1, 2, ... of a key one after another, with until when it is occupied."""
+    return f"""SELECT * FROM (WITH RECURSIVE f AS ({free}), t AS (SELECT {key}, n, ord, true AS begun, until AS free_at FROM f WHERE n = 1 UNION ALL
+        SELECT f.{key}, f.n, f.ord, f.ts >= t.free_at, CASE WHEN f.ts >= t.free_at THEN f.until ELSE t.free_at END FROM t JOIN f ON f.{key} = t.{key} AND f.n = t.n + 1) SELECT * FROM t)"""
+
+
+#: Purchases are requests that are answered after some hours, sign-ups are answers read aloud.
+_FRAMES = f"""o AS (SELECT user_id AS stream_id, ts AS since, ts + INTERVAL 1 HOUR * CASE event_type WHEN 'purchase' THEN CAST({SQL_K} AS INTEGER) % 3 ELSE 1 END AS until FROM events WHERE event_type IN ('purchase', 'signup')),
+    w AS (SELECT f.*, ts + INTERVAL 1 HOUR * (k % 13) AS until, EXISTS (SELECT 1 FROM o WHERE o.stream_id = f.stream_id AND o.since < f.ts AND f.ts < o.until) AS occupied FROM v_frame f)"""
+
+
+@query(f"""WITH {_FRAMES}, t AS ({_in_turn("SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, ord) AS n FROM w WHERE NOT occupied", "stream_id")}) SELECT ord, coalesce(begun, false) AS processed FROM w LEFT JOIN t USING (ord)""")
 def frame_admission(spark, d):
-    k = F.col("k")
-    return scenes.admitted(v_frame(spark, d), (k % 10 == 0) | (k % 10 == 1) | (k > 90)).select("ord", "processed")
+    e = load(spark, d, "events").filter(F.col("event_type").isin("purchase", "signup"))
+    hours = F.when(F.col("event_type") == "purchase", K().cast("int") % 3).otherwise(1)
+    just_after = F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")
+    occupied = e.select(F.col("user_id").alias("stream_id"), just_after.alias("since"), (F.col("ts") + F.make_dt_interval(hours=hours)).alias("until"))
+    return scenes.admitted(v_frame(spark, d), occupied, F.col("ts") + F.make_dt_interval(hours=F.col("k") % 13)).select("ord", "processed")
 
 
 @query("SELECT ord, CASE WHEN k = 7 THEN 'task/front_view_qa' WHEN name IN ('', '其他', '无效场景') THEN 'system/assistant_default' ELSE 'system/assistant_scene' END AS prompt FROM v_frame")
@@ -525,7 +539,7 @@ def request_answer(spark, d):
     return requests.answered(asked, got, 30 * 86_400).withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
 
 
-@query("""WITH r AS (SELECT event_id, user_id, ts, max(ts + INTERVAL 6 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM events) SELECT event_id, coalesce(busy_until > ts, false) AS rejected FROM r""")
+@query(f"""SELECT ord AS event_id, NOT begun AS rejected FROM ({_in_turn("SELECT user_id, event_id AS ord, ts, ts + INTERVAL 6 HOUR AS until, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events", "user_id")})""")
 def run_busy(spark, d):
     e = load(spark, d, "events").select("event_id", F.col("user_id").alias("agent"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("end"), F.col("event_id").alias("ord"))
     return requests.busy(e).select("event_id", "rejected")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +18,19 @@ SETTINGS = {
 
 def session(name: str = "turnstone", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the folder in spark.checkpoint.dir, with their lineage cut.
+
+    Only where that is unset and driver and executors are one process a temporary folder is made and set.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="turnstone-")
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
