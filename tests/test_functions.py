@@ -46,18 +46,29 @@ CASES = [
     ('```json\n[{"key":"a","value":1}]\n```', [("fact", "a", "1", 0.5)]), ("不是 JSON", []), ('{"key":"a","value":"b"}', []), ("[1, 2", []), (None, []),
     ('[7, null, "x", {"key":"a","value":{"b":1}}, {"category":"rule","key":"k","value":"v","confidence":"0.31"}]', [("rule", "k", "v", 0.31)]),
     ('[{"key":"a","value":"b","confidence":0.29}, {"category":"Rule","key":"a","value":"b","confidence":"abc"}]', [("fact", "a", "b", 0.5)]),
+    # lenient
+    ("[{key:a,value:b}]", [("fact", "a", "b", 0.5)]), ("[{'key':'a\\'s';\"value\"=>\"b\"},]", [("fact", "a's", "b", 0.5)]), ("// x\n[{key:a /*y*/, value=b}] # z", [("fact", "a", "b", 0.5)]),
+    ("[{1:2, key:a, value:b}]", [("fact", "a", "b", 0.5)]), ("[{key:a, value:b}] tail", []), ("[{key:a, value:b,}]", []), ("[,{key:a, value:TRUE}]", [("fact", "a", "true", 0.5)]),
+    ("[{key:a, value:010}, {key:b, value:1.50}, {key:c, value:1e3}, {key:d, value:12345678901234567890}]", [("fact", "a", "010", 0.5), ("fact", "b", "1.50", 0.5), ("fact", "c", "1e3", 0.5), ("fact", "d", "12345678901234567890", 0.5)]),
+    ("[{key:a, value:b, confidence:NaN}, {key:c, value:d, confidence:Infinity}]", [("fact", "c", "d", float("inf"))]), ('[{"key":"a","value":"x\ny \\" z"}]', [("fact", "a", 'x\ny " z', 0.5)]),
+    # arrays as values
+    ('[{"key":"a","value":[1,2]}, {"key":"b","value":["x"]}, {"key":["c"],"category":["rule"],"value":[["y"]],"confidence":["0.9"]}, {"key":"d","value":[]}, {"key":"e","value":[null]}, {"key":"f","value":[{}]}, {"key":"g","value":"[1]"}]',
+     [("fact", "b", "x", 0.5), ("rule", "c", "y", 0.9), ("fact", "g", "[1]", 0.5)]),
 ]
 
 
-@pytest.mark.parametrize("given, want", CASES)
-def test_candidates(spark, given, want):
-    df = spark.createDataFrame([(1, given)], "id int, model_output string")
-    assert [tuple(r)[2:] for r in jsonx.candidates(df).orderBy("pos").collect()] == want
+def test_candidates(spark):
+    df = spark.createDataFrame([(k, given) for k, (given, _) in enumerate(CASES)], "id int, model_output string")
+    got = [[] for _ in CASES]
+    for r in jsonx.candidates(df).orderBy("id", "pos").collect():
+        got[r.id].append(tuple(r)[2:])
+    for (given, want), found in zip(CASES, got, strict=True):
+        assert found == want, given
 
 
 def test_arguments_and_speed(spark):
-    assert one(spark, jsonx.int_argument(F.lit('{"arg0": "25"}'))) == 25 and one(spark, jsonx.bool_argument(F.lit('{"arg0": "true"}'))) is True
-    assert one(spark, jsonx.missing_argument(F.lit("{}"), F.lit("m"))) == "缺少参数: arg0 (方法: m)" and one(spark, jsonx.missing_argument(F.lit("broken"), F.lit("m"))) is not None
+    assert one(spark, jsonx.int_argument(jsonx.parsed(F.lit('{"arg0": "25"}')))) == 25 and one(spark, jsonx.bool_argument(jsonx.parsed(F.lit('{"arg0": "true"}')))) is True
+    assert one(spark, jsonx.missing_argument(jsonx.parsed(F.lit("{}")), F.lit("m"))) == "缺少参数: arg0 (方法: m)" and one(spark, jsonx.missing_argument(jsonx.parsed(F.lit("broken")), F.lit("m"))) is not None
     assert one(spark, jsonx.speed(F.lit('{"车速":60}'))) == 60 and one(spark, jsonx.speed(F.lit("broken"))) == 0
     assert one(spark, jsonx.scene(F.lit("broken"))).name == "其他"
 

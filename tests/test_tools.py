@@ -68,21 +68,30 @@ CASES = [
     ('{"arg0": 4294967297}', 1, None, None, "Value 4294967297 at arg0 of type java.lang.Long cannot be converted to boolean"), ('{"arg0": 1e300}', 2**31 - 1, None, None, None),
     ("{}", None, None, "缺少参数: arg0 (方法: setAcDriveTemp)", "缺少参数: arg0 (方法: setDoorLock)"), ('{"arg1": 1}', None, None, "缺少参数: arg0 (方法: setAcDriveTemp)", "缺少参数: arg0 (方法: setDoorLock)"),
     ("broken", None, None, "Value broken of type java.lang.String cannot be converted to JSONObject", "Value broken of type java.lang.String cannot be converted to JSONObject"),
+    # as the device's lenient parser reads them
+    ("{arg0:22}", 22, None, None, None), ("{'arg0':'true'}", None, True, None, None), ("{arg0=25}", 25, None, None, None), ('{arg0=>"25";b:c} tail}', 25, None, None, None), ("{arg0:0x1F}", 31, None, None, None), ("{arg0:010}", 8, None, None, None),
+    ("{arg0:+5}", 5, None, None, None), ("{arg0:09}", 9, None, None, "Value 9.0 at arg0 of type java.lang.Double cannot be converted to boolean"), ("/* x */{arg0: TRUE # y\n}", None, True, None, None), ("{arg0:Null}", None, None, "Value null at arg0 of type org.json.JSONObject$1 cannot be converted to int", None),
+    ("{arg0:yes}", None, None, "Value yes at arg0 of type java.lang.String cannot be converted to int", None), ("{arg0:[1,,'a']}", None, None, 'Value [1,null,"a"] at arg0 of type org.json.JSONArray cannot be converted to int', None),
+    ("{arg0:NaN}", None, None, "Value {arg0:NaN} of type java.lang.String cannot be converted to JSONObject", None), ("{1:2}", None, None, "Value {1:2} of type java.lang.String cannot be converted to JSONObject", None), ("{arg0:1,}", None, None, "Value {arg0:1,} of type java.lang.String cannot be converted to JSONObject", None),
+    ("", None, None, "End of input at character 0 of ", None), (" // x", None, None, "End of input at character 5 of  // x", None), ("5", None, None, "Value 5 of type java.lang.Integer cannot be converted to JSONObject", None), ("not json {", None, None, "Value not of type java.lang.String cannot be converted to JSONObject", None),
+    ("null", None, None, "Value null of type org.json.JSONObject$1 cannot be converted to JSONObject", None), ("{'arg0':'\\x\\u0035'}", None, None, "Value x5 at arg0 of type java.lang.String cannot be converted to int", None),
     ("[1]", None, None, "Value [1] of type org.json.JSONArray cannot be converted to JSONObject", "Value [1] of type org.json.JSONArray cannot be converted to JSONObject"),
 ]
 
 
-@pytest.mark.parametrize("given, number, flag, int_error, bool_error", CASES)
-def test_arguments(spark, given, number, flag, int_error, bool_error):
-    a = F.lit(given)
-    r = spark.range(1).select(jsonx.int_argument(a).alias("i"), jsonx.bool_argument(a).alias("b")).first()
-    assert (r.i, r.b) == (number, flag)
-    number_call, flag_call = run(spark, [("set_ac_drive_temp", given), ("set_door_lock", given)])
-    if int_error:
-        assert number_call.output == "工具执行失败: " + int_error and not number_call.accepted and number_call.success
-    if bool_error:
-        assert flag_call.output == "工具执行失败: " + bool_error and not flag_call.vetoed
-    assert flag_call.vetoed == (flag is False)  # at 70 km/h, the default
+def test_arguments(spark):
+    a = jsonx.parsed(F.col("given"))
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(CASES)], "k int, given string")
+    read = df.select("k", jsonx.int_argument(a).alias("i"), jsonx.bool_argument(a).alias("b")).orderBy("k").collect()
+    calls = run(spark, [(name, c[0]) for c in CASES for name in ("set_ac_drive_temp", "set_door_lock")])
+    for r, (given, number, flag, int_error, bool_error) in zip(read, CASES, strict=True):
+        assert (r.i, r.b) == (number, flag), given
+        number_call, flag_call = calls[2 * r.k], calls[2 * r.k + 1]
+        if int_error:
+            assert number_call.output == "工具执行失败: " + int_error and not number_call.accepted and number_call.success, given
+        if bool_error:
+            assert flag_call.output == "工具执行失败: " + bool_error and not flag_call.vetoed, given
+        assert flag_call.vetoed == (flag is False), given  # at 70 km/h, the default
 
 
 def test_open_doors(spark):

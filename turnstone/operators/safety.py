@@ -14,9 +14,9 @@ VETO, ALL_VETOED = "[SAFETY VETO] ", "安全原因已阻止所有工具调用。
 REASON = ("出于安全考虑，车速 ", " km/h 时不允许解锁车门。请先停车。")
 
 
-def door_guard(name: Column, arguments: Column, speed: Column) -> Column:
-    """Unlocking is vetoed above MOST_SPEED. Only a false that is a boolean or its text unlocks: what is missing, of another type or unreadable lets the call pass."""
-    return F.when((name == tools.DOOR_LOCK) & ~F.coalesce(jsonx.bool_argument(arguments), F.lit(True)) & (speed > MOST_SPEED), F.concat(F.lit(REASON[0]), speed.cast("string"), F.lit(REASON[1])))
+def door_guard(name: Column, given: Column, speed: Column) -> Column:
+    """Unlocking is vetoed above MOST_SPEED. Only a false that is a boolean or its text unlocks: what is missing, of another type or unreadable lets the call pass. given: of jsonx.parsed()."""
+    return F.when((name == tools.DOOR_LOCK) & ~F.coalesce(jsonx.bool_argument(given), F.lit(True)) & (speed > MOST_SPEED), F.concat(F.lit(REASON[0]), speed.cast("string"), F.lit(REASON[1])))
 
 
 def chain(*reasons: Column) -> Column:
@@ -39,7 +39,7 @@ def guarded(calls: DataFrame, rules: DataFrame, doors: DataFrame | None = None)
     stands = None
     if doors is not None:
         out, stands = tools.refused(out, doors), F.col("door_open")
-    out = out.withColumn("veto_reason", chain(door_guard(F.col("name"), F.col("arguments"), F.col("speed")))).withColumn("vetoed", F.col("veto_reason").isNotNull())
+    out = out.withColumn("veto_reason", chain(door_guard(F.col("name"), F.col("given"), F.col("speed")))).withColumn("vetoed", F.col("veto_reason").isNotNull())
     out = out.withColumn("accepted", F.col("accepted") & ~F.col("vetoed"))
     # success means that no guard stopped the call: a value out of range is a success, too
     said = tools.result_text(tools.reply(stands), F.col("error"))

@@ -122,14 +122,14 @@ def looked_up(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def checked(calls: DataFrame) -> DataFrame:
-    """looked_up() rows with value (the argument as text, normalised), error (of lookup, of arguments that can't be read or lack one, or of one of another type) and accepted."""
-    given, kind = F.col("arguments"), F.col("kind")
+    """looked_up() rows with value (the argument as text, normalised), error (of lookup, of arguments that can't be read or lack one, or of one of another type) and accepted; given is what jsonx.parsed() read."""
+    given, kind = F.col("given"), F.col("kind")
     number, flag = jsonx.int_argument(given), jsonx.bool_argument(given)
-    value = F.when(kind == "range", number.cast("string")).when(kind == "bool", flag.cast("string")).otherwise(jsonx.argument(given))
+    value = F.when(kind == "range", number.cast("string")).when(kind == "bool", flag.cast("string")).otherwise(given["raw"])
     wrong = F.when(kind.isin("range", "bool") & F.col("value").isNull(), jsonx.mistyped(given, F.when(kind == "bool", "boolean").otherwise("int")))
-    failed = F.concat(F.lit(RUN_FAILED), F.coalesce(jsonx.unreadable(given), jsonx.missing_argument(given, F.col("method")), wrong))
+    failed = F.concat(F.lit(RUN_FAILED), F.coalesce(given["failure"], jsonx.missing_argument(given, F.col("method")), wrong))
     ok = F.when(kind == "range", F.col("value").try_cast("int").between(F.col("lo"), F.col("hi"))).when(kind == "enum", F.array_contains("allowed", F.col("value"))).otherwise(kind.isNotNull())
-    out = calls.withColumn("value", value).withColumn("error", F.coalesce("lookup_error", failed))
+    out = jsonx.once(calls, "given", jsonx.parsed(F.col("arguments"))).withColumn("value", value).withColumn("error", F.coalesce("lookup_error", failed))
     return out.withColumn("accepted", F.coalesce(ok, F.lit(False)) & F.col("error").isNull())
 
 

@@ -97,19 +97,22 @@ def memory_delete_tombstone(spark, d):
 
 def _model_output() -> Column:
     """Answers of a model, good and bad, made of an event."""
-    i, k, e = F.col("ord") % 8, F.col("key_text"), F.col("value_text")
+    i, k, e = F.col("ord") % 10, F.col("key_text"), F.col("value_text")
     c = (F.col("ord") % 100).cast("string")
     conf = F.concat(F.lit("0."), F.lpad(c, 2, "0"))
     one = F.concat(F.lit('{"category":"preference","key":"k'), k, F.lit('","value":"'), e, F.lit('","confidence":'), conf, F.lit("}"))
     return (
         F.when(i == 0, F.concat(F.lit("```json\n["), one, F.lit("]\n```"))).when(i == 1, one).when(i == 2, F.lit("不是 JSON")).when(i == 3, F.concat(F.lit('[7, "x", {"category":"zzz","key":"a","value":{"b":1}}, '), one, F.lit("]")))
-        .when(i == 4, F.concat(F.lit("["), one)).when(i == 5, F.concat(F.lit('[{"category":"odd","key":"n","value":'), e, F.lit("}]"))).when(i == 6, F.concat(F.lit('[{"key":"s","value":"v","confidence":"abc"}, {"key":"","value":"v"}]'))).otherwise(F.lit("[]"))
+        .when(i == 4, F.concat(F.lit("["), one)).when(i == 5, F.concat(F.lit('[{"category":"odd","key":"n","value":'), e, F.lit("}]"))).when(i == 6, F.concat(F.lit('[{"key":"s","value":"v","confidence":"abc"}, {"key":"","value":"v"}]')))
+        .when(i == 8, F.concat(F.lit("[{category:preference, 'key':'q'; value=['"), e, F.lit("'],confidence:0.9}, {key:b, value:[1,2]}, {key:c, value:[]}, {key:[[d]], value:{}},] // end")))
+        .when(i == 9, F.lit('[{"key":"n","value":1.50,"confidence":"NaN"}, {"key":"m","value":1.50},]')).otherwise(F.lit("[]"))
     )
 
 
 _ONE_SQL = """'{"category":"preference","key":"k' || key_text || '","value":"' || value_text || '","confidence":0.' || lpad((ord % 100)::VARCHAR, 2, '0') || '}'"""
-_OUTPUT_SQL = f"""CASE ord % 8 WHEN 0 THEN '```json' || chr(10) || '[' || {_ONE_SQL} || ']' || chr(10) || '```' WHEN 1 THEN {_ONE_SQL} WHEN 2 THEN '不是 JSON' WHEN 3 THEN '[7, "x", {{"category":"zzz","key":"a","value":{{"b":1}}}}, ' || {_ONE_SQL} || ']'
-    WHEN 4 THEN '[' || {_ONE_SQL} WHEN 5 THEN '[{{"category":"odd","key":"n","value":' || value_text || '}}]' WHEN 6 THEN '[{{"key":"s","value":"v","confidence":"abc"}}, {{"key":"","value":"v"}}]' ELSE '[]' END"""
+_OUTPUT_SQL = f"""CASE ord % 10 WHEN 0 THEN '```json' || chr(10) || '[' || {_ONE_SQL} || ']' || chr(10) || '```' WHEN 1 THEN {_ONE_SQL} WHEN 2 THEN '不是 JSON' WHEN 3 THEN '[7, "x", {{"category":"zzz","key":"a","value":{{"b":1}}}}, ' || {_ONE_SQL} || ']'
+    WHEN 4 THEN '[' || {_ONE_SQL} WHEN 5 THEN '[{{"category":"odd","key":"n","value":' || value_text || '}}]' WHEN 6 THEN '[{{"key":"s","value":"v","confidence":"abc"}}, {{"key":"","value":"v"}}]'
+    WHEN 8 THEN '[{{"category":"preference","key":"q","value":"' || value_text || '","confidence":0.9}}]' WHEN 9 THEN '[0, {{"key":"m","value":"1.50"}}]' ELSE '[]' END"""
 
 
 @query(rf"""WITH o AS (SELECT ord, trim(regexp_replace(regexp_replace({_OUTPUT_SQL}, '```json\s*', '', 'g'), '```\s*', '', 'g'), chr(10) || ' ') AS t FROM v_mem),
@@ -284,9 +287,9 @@ def tool_lookup(spark, d):
 
 @query(f"WITH {_CHECK} SELECT ord, num AS int_arg, flag AS bool_arg, raw AS text_arg, coalesce(unreadable, missing) AS failure FROM checked")
 def tool_arg_resolve(spark, d):
-    c, given = tools.looked_up(v_tool(spark, d), tools.registry(spark)), F.col("arguments")
-    failure = F.coalesce(jsonx.unreadable(given), jsonx.missing_argument(given, F.coalesce("method", "name")))
-    return c.select("ord", jsonx.int_argument(given).alias("int_arg"), jsonx.bool_argument(given).alias("bool_arg"), jsonx.argument(given).alias("text_arg"), failure.alias("failure"))
+    c, given = jsonx.once(tools.looked_up(v_tool(spark, d), tools.registry(spark)), "given", jsonx.parsed(F.col("arguments"))), F.col("given")
+    failure = F.coalesce(given["failure"], jsonx.missing_argument(given, F.coalesce("method", "name")))
+    return c.select("ord", jsonx.int_argument(given).alias("int_arg"), jsonx.bool_argument(given).alias("bool_arg"), given["raw"].alias("text_arg"), failure.alias("failure"))
 
 
 @query(f"WITH {_CHECK} SELECT ord, name, value, error, accepted FROM checked WHERE kind = 'range'")

@@ -83,6 +83,11 @@ def v_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, i = K("props", "$.k"), F.col("event_id") % 20
     odd = {0: "{}", 1: '{"arg0": null}', 2: '{"arg0": true}', 3: '{"arg0": false}', 4: '{"arg0": "TRUE"}', 5: '{"arg0": "false"}', 6: '{"arg0": "yes"}', 7: "broken", 8: '{"arg0": 0}', 9: '{"arg0": false}'}
     arguments = F.when(i == 10, F.concat(F.lit('{"arg0": "'), k, F.lit('"}'))).when(i == 11, F.concat(F.lit('{"arg0": '), k, F.lit(".75}")))
+    # as the device's lenient parser takes them; the SQL has the same in strict JSON
+    loose = {12: ("{arg0:", "}"), 13: ("{'arg0':'", "'}"), 14: ("{arg0=>", "; x=1} tail"), 17: ("{arg0: ", "")}
+    for n, (before, after) in loose.items():
+        arguments = arguments.when(i == n, F.concat(F.lit(before), k, F.lit(after)))
+    odd |= {15: "/* on */ {arg0: TRUE} # end", 16: "{arg0: 0x10}"}
     for n, given in odd.items():
         arguments = arguments.when(i == n, F.lit(given))
     arguments = arguments.otherwise(F.concat(F.lit('{"arg0": '), k, F.lit("}")))
@@ -117,7 +122,8 @@ VIEWS = {
     "v_mem": f"SELECT user_id, event_type, {_case_sql('event_type', CATEGORY_OF)} AS category, props->>'$.k' AS key_text, CAST(event_id AS VARCHAR) AS value_text, value / 500 AS confidence, ts, event_id AS ord FROM events",
     "v_tool": f"""SELECT user_id AS vehicle, event_id AS ord, ts, {_case_sql("event_type", TOOL_OF, "set_unknown")} AS name,
         CASE event_id % 20 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"arg0": null}}' WHEN 2 THEN '{{"arg0": true}}' WHEN 3 THEN '{{"arg0": false}}' WHEN 4 THEN '{{"arg0": "TRUE"}}' WHEN 5 THEN '{{"arg0": "false"}}' WHEN 6 THEN '{{"arg0": "yes"}}' WHEN 7 THEN 'broken'
-        WHEN 8 THEN '{{"arg0": 0}}' WHEN 9 THEN '{{"arg0": false}}' WHEN 10 THEN '{{"arg0": "' || (props->>'$.k') || '"}}' WHEN 11 THEN '{{"arg0": ' || (props->>'$.k') || '.75}}' ELSE '{{"arg0": ' || (props->>'$.k') || '}}' END AS arguments FROM events""",
+        WHEN 8 THEN '{{"arg0": 0}}' WHEN 9 THEN '{{"arg0": false}}' WHEN 10 THEN '{{"arg0": "' || (props->>'$.k') || '"}}' WHEN 11 THEN '{{"arg0": ' || (props->>'$.k') || '.75}}' WHEN 13 THEN '{{"arg0": "' || (props->>'$.k') || '"}}' WHEN 15 THEN '{{"arg0": true}}' WHEN 16 THEN '{{"arg0": 16}}' WHEN 17 THEN '{{arg0: ' || (props->>'$.k')
+        ELSE '{{"arg0": ' || (props->>'$.k') || '}}' END AS arguments FROM events""",
     "v_chat": f"""SELECT user_id AS memory_id, event_id AS seq, {_case_sql("event_type", CHAT_TYPE)} AS type, CASE WHEN event_type = 'error' THEN repeat(props->>'$.k', 50) WHEN event_type <> 'click' THEN 'm' || event_id END AS text,
         CASE WHEN event_type = 'error' THEN 'set_door_lock' END AS tool_name, CASE WHEN event_type = 'click' THEN ['set_ac_status', 'set_door_lock'] ELSE []::VARCHAR[] END AS calls, CASE WHEN event_type IN ('click', 'error') THEN 'c' || (event_id // 2) END AS call_id FROM events""",
     "v_frame": f"SELECT user_id AS stream_id, ts, event_id AS ord, {_case_sql('event_type', SCENE_OF)} AS name, CAST(props->>'$.k' AS INTEGER) AS k FROM events",
