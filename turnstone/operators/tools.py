@@ -171,16 +171,20 @@ def state(accepted: DataFrame, vehicles: DataFrame | None = None, rules: list[tu
 
 def snapshots(states: DataFrame, parts: list[str] | None = None) -> DataFrame:
     """vehicle and one JSON text for each part of the vehicle, from vehicle, field, value rows. At most 49 fields a vehicle."""
+    values = F.map_from_entries(F.collect_list(F.struct("field", "value")))
+    return states.groupBy("vehicle").agg(values.alias("v")).select("vehicle", *snapshot_texts(F.col("v"), parts))
+
+
+def snapshot_texts(values: Column, parts: list[str] | None = None) -> list[Column]:
+    """One JSON text for each part, from a map of field to value; fields that it lacks have their defaults."""
     kinds = {f: k for _, f, k, *_ in RULES if f}
     default = {r[1]: r[6] for r in RULES if r[1]} | FIXED_FIELDS
-    values = F.map_from_entries(F.collect_list(F.struct("field", "value")))
-    rows = states.groupBy("vehicle").agg(values.alias("v"))
 
     def typed(f: str) -> Column:
-        x = F.coalesce(F.element_at("v", F.lit(f)), F.lit(default[f]))
+        x = F.coalesce(F.element_at(values, F.lit(f)), F.lit(default[f]))
         return (x.cast("int") if kinds.get(f) == "range" else x if kinds.get(f) == "enum" else x.cast("boolean")).alias(f)
 
-    return rows.select("vehicle", *[F.to_json(F.struct(*[typed(f) for f in SNAPSHOTS[p]])).alias(p) for p in parts or SNAPSHOTS])
+    return [F.to_json(F.struct(*[typed(f) for f in SNAPSHOTS[p]])).alias(p) for p in parts or SNAPSHOTS]
 
 
 def any_door_open(fields: DataFrame) -> DataFrame:

@@ -373,6 +373,20 @@ def _calls(spark, d):
     return e.join(nth, "nth").join(rules, "name").select("vehicle", "ord", "ts", "name", F.concat(F.lit('{"arg0": '), given, F.lit("}")).alias("arguments"))
 
 
+def _snapshot_sql(part: str) -> str:
+    kinds, default = {r[1]: r[2] for r in tools.RULES if r[1]}, {r[1]: r[6] for r in tools.RULES if r[1]} | tools.FIXED_FIELDS
+    mark = lambda f: "'\"' || " if kinds.get(f) == "enum" else ""
+    one = lambda f: f"""'"{f}":' || {mark(f)}coalesce(max(s.value) FILTER (field = {_q(f)}), {_q(default[f])}){" || '" + '"' + "'" if mark(f) else ""}"""
+    return "'{' || " + " || ',' || ".join(map(one, tools.SNAPSHOTS[part])) + f" || '}}' AS {part}"
+
+
+@query(f"""WITH {_RULES}, {_CALLS}, {_check_sql('v_call')}, r AS (SELECT *, row_number() OVER (PARTITION BY vehicle, field ORDER BY ts DESC, ord DESC) AS rn FROM checked WHERE accepted AND field IS NOT NULL), s AS (SELECT vehicle, field, value FROM r WHERE rn = 1)
+    SELECT v.vehicle, {", ".join(map(_snapshot_sql, tools.SNAPSHOTS))} FROM (SELECT DISTINCT vehicle FROM v_call) v LEFT JOIN s USING (vehicle) GROUP BY v.vehicle""")
+def tool_snapshots_all_parts(spark, d):
+    calls = _calls(spark, d)
+    return tools.snapshots(tools.state(_checked(spark, d, calls), calls.select("vehicle").distinct()))
+
+
 @query(f"WITH {_RULES}, {_CALLS}, {_check_sql('v_call')} SELECT ord, name, accepted, coalesce(error, reply, 'Success') AS output FROM checked")
 def tool_result_text(spark, d):
     return _checked(spark, d, _calls(spark, d)).select("ord", "name", "accepted", tools.result_text(tools.reply(), F.col("error")).alias("output"))

@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import memory, requests, scenes
+from ..functions import jsonx
+from ..operators import memory, requests, safety, scenes, tools
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -83,6 +85,104 @@ def last_values(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("vehicle", "field").applyInPandasWithState(run, "vehicle long, field string, value string, ord long", "ts long, ord long, value string", "update", GroupStateTimeout.NoTimeout)
 
 
+class _Fields(StatefulProcessor):
+    """The last value of each field of a vehicle, a map in the state store: a batch reads and writes only the fields it touches, and all of them once to show them."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fields = handle.getMapState("fields", "field string", "value string, ts long, ord long", self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            self._put(r.field, r.value, -1, -1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        changed = False
+        for b in rows:
+            for ts, ord_, field, value in zip(_micros(b["ts"]), map(int, b["ord"]), b["field"], b["value"]):
+                changed |= self._put(field, value, ts, ord_)
+        if changed:
+            shown = [(f[0], v[0]) for f, v in self.fields.iterator()]
+            yield pd.DataFrame({"vehicle": [key[0]], "fields": [[f for f, _ in shown]], "values": [[v for _, v in shown]]})
+
+    def _put(self, field: str, value: str, ts: int, ord_: int) -> bool:
+        old = self.fields.getValue((field,)) if self.fields.containsKey((field,)) else None
+        if old is not None and (ts, ord_) <= (old[1], old[2]):
+            return False
+        self.fields.updateValue((field,), (value, ts, ord_))
+        return old is None or old[0] != value
+
+    def close(self) -> None:
+        pass
+
+
+def vehicle_states(accepted: DataFrame, initial: DataFrame | None = None, parts: list[str] | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """accepted: vehicle long, field, value, ts, ord long, in any order and however late. Emits vehicle and one JSON text for each part whenever a field changes (update mode).
+
+    initial: vehicle, field, value that vehicles have before any call; else fields never set have their defaults. ttl_ms: after so
+    long without a call a field falls back to its default; needed where vehicles come and go. Needs the RocksDB state store.
+    """
+    rows = accepted.select("vehicle", "field", "value", "ts", "ord").groupBy("vehicle")
+    start = initial.select("vehicle", "field", "value").groupBy("vehicle") if initial is not None else None
+    out = rows.transformWithStateInPandas(_Fields(ttl_ms), "vehicle long, fields array<string>, values array<string>", "update", "ProcessingTime" if ttl_ms else "None", initialState=start)
+    return out.select("vehicle", *tools.snapshot_texts(F.map_from_arrays("fields", "values"), parts))
+
+
+class _SpeedAsOf(StatefulProcessor):
+    """Calls wait in a map by (ts, ord) until the watermark has passed them; then they and the speeds that came before them are taken in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "ts long, ord long, call boolean", "speed int, body string")
+        self.speed = handle.getValueState("speed", "speed int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for b in rows:
+            for ts, ord_, call, speed, body in zip(_micros(b["ts"]), map(int, b["ord"]), map(bool, b["call"]), b["speed"], b["body"]):
+                self.held.updateValue((ts, ord_, call), (None if pd.isna(speed) else int(speed), body))
+                due.add(ts // 1000 + 1)
+        for at in due:
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        now = self.speed.get()[0] if self.speed.exists() else safety.DEFAULT_SPEED
+        out = []
+        # speeds come before calls of the same moment
+        for at in sorted(k for k in self.held.keys() if k[0] < passed):
+            speed, body = self.held.getValue(at)
+            self.held.removeKey(at)
+            if at[2]:
+                out.append((key[0], at[0], at[1], now, body))
+            elif speed is not None:
+                now = speed
+        self.speed.update((now,))
+        if out:
+            yield pd.DataFrame(out, columns=["vehicle", "us", "ord", "speed", "body"])
+
+    def close(self) -> None:
+        pass
+
+
+def guarded_calls(calls: DataFrame, speeds: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """calls: vehicle long, ts timestamp, ord long, name, arguments; speeds: vehicle, ts, ord, speed int; two streams, each in any order and up to late behind.
+
+    Emits vehicle, ts, ord, name, arguments, speed (the last one at or before the call), veto_reason, vetoed, once the watermark has passed the call.
+    A call and a speed of one (vehicle, ts, ord) are told apart; two calls are not.
+    """
+    body = F.to_json(F.struct("name", "arguments"))
+    both = calls.select("vehicle", "ts", "ord", F.lit(True).alias("call"), F.lit(None).cast("int").alias("speed"), body.alias("body")).unionByName(speeds.select("vehicle", "ts", "ord", F.lit(False).alias("call"), F.col("speed").cast("int"), F.lit(None).cast("string").alias("body")))
+    rows = both.withWatermark("ts", late).groupBy("vehicle")
+    out = rows.transformWithStateInPandas(_SpeedAsOf(), "vehicle long, us long, ord long, speed int, body string", "append", "EventTime")
+    out = out.withColumn("call", F.from_json("body", "name string, arguments string")).select("vehicle", F.timestamp_micros("us").alias("ts"), "ord", "call.name", "call.arguments", "speed")
+    given = jsonx.once(out, "given", jsonx.parsed(F.col("arguments")))
+    return given.withColumn("veto_reason", safety.door_guard(F.col("name"), F.col("given"), F.col("speed"))).withColumn("vetoed", F.col("veto_reason").isNotNull()).drop("given")
+
+
 def answers(rows: DataFrame, late: str = "15 seconds", seconds: int = requests.TIMEOUT_S, forget_s: int = 3600) -> DataFrame:
     """rows: request_id string, kind (request or response), ts timestamp, ord long, text. Emits request_id, ts, ord, text, error_type once for each request.
 
