@@ -105,7 +105,7 @@ def test_documents_and_replaced_lists(spark, tmp_path):
     write([("a", "[1]", 1), ("b", "[2]", 1), ("a", "[3]", 2)], 0)
     write([("b", "[4]", 1), ("c", "[5]", 1)], 1)
     write([("b", "[4]", 1), ("c", "[5]", 1)], 1)  # again
-    assert sorted((r.memory_id, r.messages_json) for r in table.read(1).collect()) == [("a", "[3]"), ("b", "[4]"), ("c", "[5]")]
+    assert sorted((r.memory_id, r.messages_json) for r in table.read().collect()) == [("a", "[3]"), ("b", "[4]"), ("c", "[5]")]
 
 
 def test_spans_are_written_in_batches(spark, tmp_path):

@@ -69,14 +69,14 @@ def test_memories(spark, staged, tmp_path):
     run(staged(writes), tmp_path, each=each)
     assert len(seen) > 1
     columns = [*memory.KEY, "value_text", "confidence"]
-    got = sorted(map(str, table.read(max(seen)).select(*columns, F.date_format("created_at", "yyyyMMddHHmmss").alias("c")).collect()))
+    got = sorted(map(str, table.read().select(*columns, F.date_format("created_at", "yyyyMMddHHmmss").alias("c")).collect()))
     want = memory.upsert(writes).select(*columns, F.date_format("created_at", "yyyyMMddHHmmss").alias("c"))
     assert got == sorted(map(str, want.collect()))
     few = v_mem(spark, SF).limit(1).withColumn("ts", F.lit("2030-01-01 00:00:00").cast("timestamp"))
-    n = max(seen) + 1
-    table.merge(few, n)
+    n = table.ledger.latest() + 1
+    assert table.merge(few, 0, "a stream with a new checkpoint") and not table.merge(few, 0, "a stream with a new checkpoint")
     assert len(list((tmp_path / "memories" / "data" / f"version={n}").glob("bucket=*"))) == 1  # only the bucket of that user is written
-    assert table.read(n).count() == len(got) and len(list((tmp_path / "memories" / "data").glob("version=*/bucket=*"))) <= 2 * table.buckets
+    assert table.read().count() == len(got) and len(list((tmp_path / "memories" / "data").glob("version=*/bucket=*"))) <= 2 * table.buckets
 
 
 def test_samples(spark, staged, tmp_path):

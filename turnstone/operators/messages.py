@@ -86,14 +86,15 @@ def plan(messages: DataFrame, rule: Compaction = Compaction(), calls_col: str |
 
 
 def compacted(messages: DataFrame, plans: DataFrame, summaries: DataFrame, rule: Compaction = Compaction()) -> DataFrame:
-    """memory_id, pos, type, text after compaction. summaries: memory_id, summary; a null or blank one leaves the conversation as it is."""
+    """memory_id, pos, type, text (and tool_name, if messages have it) after compaction. summaries: memory_id, summary; a null or blank one leaves the conversation as it is."""
+    named = [c for c in ("tool_name",) if c in messages.columns]
     ready = plans.filter("compact").join(summaries.filter(F.trim("summary") != ""), "memory_id").select("memory_id", F.trim("summary").alias("_summary"))
     rows = _placed(messages, rule).join(ready, "memory_id", "left")
     stay = rows.filter(F.col("_summary").isNull() | (F.col("_part") != "region"))
-    stay = stay.select("memory_id", F.when(F.col("_summary").isNull(), 1).when(F.col("_part") == "system", 0).otherwise(2).alias("_o"), "seq", "type", "text")
-    said = ready.select("memory_id", F.lit(1).alias("_o"), F.lit(0).cast("long").alias("seq"), F.lit("user").alias("type"), F.concat(F.lit(SUMMARY), F.col("_summary")).alias("text"))
+    stay = stay.select("memory_id", F.when(F.col("_summary").isNull(), 1).when(F.col("_part") == "system", 0).otherwise(2).alias("_o"), "seq", "type", "text", *named)
+    said = ready.select("memory_id", F.lit(1).alias("_o"), F.lit(0).cast("long").alias("seq"), F.lit("user").alias("type"), F.concat(F.lit(SUMMARY), F.col("_summary")).alias("text"), *(F.lit(None).cast("string").alias(c) for c in named))
     order = Window.partitionBy("memory_id").orderBy("_o", "seq")
-    return stay.unionByName(said).select("memory_id", F.row_number().over(order).cast("long").alias("pos"), "type", "text")
+    return stay.unionByName(said).select("memory_id", F.row_number().over(order).cast("long").alias("pos"), "type", "text", *named)
 
 
 def joined(messages: DataFrame, limit: int = text.FORMAT_LIMIT) -> DataFrame:

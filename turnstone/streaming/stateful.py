@@ -7,7 +7,7 @@ watermark has passed them. Without it batches are taken in order, as one device
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import jsonx
-from ..operators import memory, requests, safety, scenes, tools
+from ..operators import memory, messages, requests, safety, scenes, tools
+from ..session import checkpointed
+from ..sources.tables import pack_messages, packed_messages
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -241,16 +243,88 @@ def exported(spans: DataFrame, path: str, checkpoint: str, every: str = "2 secon
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
+class Ledger:
+    """What counts of some tables: for each table and bucket the version to read, for each stream the last batch that is in them.
+
+    Records are numbered by the ledger itself, so a stream with a new checkpoint goes on with the tables as they are. A record
+    counts when it is whole; the newest one that is tells all. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def latest(self) -> int:
+        """Number of the newest whole record, -1 if there is none."""
+        at, fs = self._fs(self.path)
+        numbers = sorted((int(f.getPath().getName()) for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+        for n in numbers:
+            done, _ = self._fs(f"{self.path}/{n:010d}/_SUCCESS")
+            if fs.exists(done):
+                return n
+        return -1
+
+    def record(self, number: int) -> tuple[dict[tuple[str, int], int], dict[str, int]]:
+        """(table, bucket) -> version, stream -> batch: a row for each bucket and stream."""
+        if number < 0:
+            return {}, {}
+        rows = self.spark.read.schema("kind string, name string, bucket int, number long").parquet(f"{self.path}/{number:010d}").collect()
+        return {(r.name, r.bucket): r.number for r in rows if r.kind == "table"}, {r.name: r.number for r in rows if r.kind == "stream"}
+
+    def commit(self, number: int, versions: dict[tuple[str, int], int], streams: dict[str, int]) -> None:
+        rows = [("table", name, bucket, v) for (name, bucket), v in sorted(versions.items())] + [("stream", name, None, n) for name, n in sorted(streams.items())]
+        self.spark.createDataFrame(rows, "kind string, name string, bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{number:010d}")
+
+    def delete(self, path: str) -> None:
+        at, fs = self._fs(path)
+        fs.delete(at, True)
+
+
+def stream_of(spark: SparkSession) -> str:
+    """Inside foreachBatch the id that a query keeps with its checkpoint; else an empty text."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def merge_all(ledger: Ledger, tables: dict[BucketTable, DataFrame], number: int, stream: str | None = None) -> bool:
+    """Write what a batch brings to several tables, then one record that makes all of it count.
+
+    A batch that is in the record already changes nothing; one that failed before its record was whole starts anew from the
+    record before, over its own files. False if the batch was there.
+    """
+    spark = ledger.spark
+    stream = stream_of(spark) if stream is None else stream
+    last = ledger.latest()
+    before, streams = ledger.record(last)
+    if streams.get(stream, -1) >= number:
+        return False
+    version, after = last + 1, dict(before)
+    for table, writes in tables.items():
+        own = {b: v for (name, b), v in before.items() if name == table.name}
+        after |= {(table.name, b): version for b in table.stage(writes, own, version)}
+    ledger.commit(version, after, streams | {stream: number})
+    if last > 1:
+        ledger.delete(f"{ledger.path}/{last - 2:010d}")
+    earlier, _ = ledger.record(last - 1)
+    paths = {t.name: t for t in tables}
+    for (name, bucket), v in earlier.items():
+        if name in paths and v not in (before.get((name, bucket)), after[name, bucket]):
+            ledger.delete(paths[name].file(bucket, v))
+    return True
+
+
 class BucketTable:
     """A table as Parquet files in buckets of a key. A micro-batch rewrites only the buckets that it touches, and
-    writes down which version of each bucket counts; a batch that runs again writes the same. Versions that neither the
-    last batch nor the one before reads are deleted."""
+    a ledger tells which version of each bucket counts. Versions that neither the last record nor the one before
+    reads are deleted. The number of buckets is that of the table's first write and must stay."""
 
-    #: Column whose hash tells the bucket.
-    by = "key"
+    #: Column whose hash tells the bucket; the table's name in its ledger.
+    by, name = "key", "table"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, ledger: Ledger | None = None):
+        self.spark, self.path, self.buckets, self.ledger = spark, path, buckets, ledger or Ledger(spark, f"{path}/versions")
 
     def prepared(self, writes: DataFrame) -> DataFrame:
         """The rows that a batch brings."""
@@ -260,46 +334,40 @@ class BucketTable:
         """What becomes of old rows and prepared() ones."""
         raise NotImplementedError
 
-    def _versions(self, number: int) -> dict[int, int]:
-        """Bucket -> the batch that wrote it last, as of the batch; one row a bucket."""
-        if number < 0:
-            return {}
-        return {r.bucket: r.version for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/versions/{number:010d}").collect()}
-
-    def _files(self, versions: dict[int, int]) -> list[str]:
-        return [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    def file(self, bucket: int, version: int) -> str:
+        return f"{self.path}/data/version={version}/bucket={bucket}"
 
     def _load(self, versions: dict[int, int]) -> DataFrame | None:
-        return self.spark.read.parquet(*self._files(versions)) if versions else None
+        return self.spark.read.parquet(*(self.file(b, v) for b, v in sorted(versions.items()))) if versions else None
 
-    def read(self, number: int) -> DataFrame:
-        """The table as the batch left it."""
-        return self._load(self._versions(number))
+    def read(self) -> DataFrame | None:
+        """The table as the newest record has it, None before the first."""
+        versions, _ = self.ledger.record(self.ledger.latest())
+        return self._load({b: v for (name, b), v in versions.items() if name == self.name})
 
-    def merge(self, writes: DataFrame, number: int) -> None:
-        """For foreachBatch."""
+    def stage(self, writes: DataFrame, versions: dict[int, int], version: int) -> list[int]:
+        """Write new versions of the buckets that writes touch, which count only when a record names them."""
         own = F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
         new = self.prepared(writes).withColumn("bucket", own)
         new.persist()
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        before = self._versions(number - 1)
-        old = self._load({b: v for b, v in before.items() if b in touched})
-        rows = self.merged(new.limit(0) if old is None else old.withColumn("bucket", own), new)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={number}")
-        after = before | {b: number for b in touched}
-        self.spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/{number:010d}")
-        new.unpersist()
-        needed = {*self._files(before), *self._files(after)}
-        for f in self._files(self._versions(number - 2)):
-            if f not in needed:
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        try:
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+            old = self._load({b: v for b, v in versions.items() if b in touched})
+            rows = self.merged(new.limit(0) if old is None else old.withColumn("bucket", own), new)
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        finally:
+            new.unpersist()
+        return touched
+
+    def merge(self, writes: DataFrame, number: int, stream: str | None = None) -> bool:
+        """For foreachBatch: a batch counts once however often it runs."""
+        return merge_all(self.ledger, {self: writes}, number, stream)
 
 
 class MemoryTable(BucketTable):
     """Long-term memories: the latest write of each key wins and the first dates it."""
 
-    by = "user_id"
+    by, name = "user_id", "memories"
 
     def prepared(self, writes: DataFrame) -> DataFrame:
         return memory.upsert(writes)
@@ -313,10 +381,41 @@ class MemoryTable(BucketTable):
 class MessageTable(BucketTable):
     """Packed message lists (memory_id, messages_json): a list replaces the one before it as a whole. Of several in one batch the last counts (column ord)."""
 
-    by = "memory_id"
+    by, name = "memory_id", "messages"
 
     def prepared(self, writes: DataFrame) -> DataFrame:
         return writes.groupBy("memory_id").agg(F.max_by("messages_json", "ord").alias("messages_json"))
 
     def merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
         return old.join(new.select("memory_id"), "memory_id", "left_anti").unionByName(new)
+
+
+class TurnEnd:
+    """What the end of turns leaves, in two tables under one ledger: the memories that a model finds in the turns, and
+    the message lists that became too long, compacted. Both count from the same record on, or neither.
+
+    extract: from turns (turn_id, user_message, ai_response) to turn_id, model_output. summarise: from memory_id,
+    summary_lines to memory_id, summary. Turns without a user's message aren't sent to extract, lists that the rule leaves
+    alone not to summarise.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, extract: Callable[[DataFrame], DataFrame], summarise: Callable[[DataFrame], DataFrame], rule: messages.Compaction | None = None, buckets: int = 64):
+        self.ledger = Ledger(spark, f"{path}/versions")
+        self.memories, self.lists = MemoryTable(spark, f"{path}/memories", buckets, self.ledger), MessageTable(spark, f"{path}/messages", buckets, self.ledger)
+        self.extract, self.summarise, self.rule = extract, summarise, rule or messages.Compaction()
+
+    def merge(self, turns: DataFrame, number: int, stream: str | None = None) -> bool:
+        """For foreachBatch. turns: turn_id, user_id, memory_id, ts, ord, user_message, ai_response, messages_json (the whole list after the turn).
+
+        Of several turns of one conversation in a batch the last one's list is looked at.
+        """
+        asked = turns.filter(F.coalesce("user_message", F.lit("")) != "")
+        # models are asked once: what they say is written down before anything reads it
+        writes = memory.extracted(turns, checkpointed(self.extract(asked.select("turn_id", "user_message", "ai_response"))))
+        last = turns.filter("memory_id is not null").groupBy("memory_id").agg(F.max_by("messages_json", F.struct("ts", "ord")).alias("messages_json"))
+        said = packed_messages(last)
+        plan = messages.plan(said, self.rule)
+        summaries = checkpointed(self.summarise(plan.filter("compact").select("memory_id", "summary_lines"))).filter(F.trim("summary") != "")
+        shorter = messages.compacted(said.join(summaries.select("memory_id"), "memory_id", "left_semi"), plan, summaries, self.rule)
+        lists = pack_messages(shorter.withColumnRenamed("pos", "seq")).withColumn("ord", F.lit(0))
+        return merge_all(self.ledger, {self.memories: writes, self.lists: lists}, number, stream)
