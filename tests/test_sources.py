@@ -69,11 +69,14 @@ def test_run_outcomes(spark):
 
 
 def test_spans_are_written_and_maps_merge_to_the_right(spark, tmp_path):
-    r = spark.createDataFrame([("q", "s", "app", "TEXT", "手机号 13812345678")], "request_id string, session_id string, source_app string, input_type string, text string")
+    r = spark.createDataFrame([("q", "s", "app", "TEXT", "chat", None, "手机号 13812345678")], "request_id string, session_id string, source_app string, input_type string, persona string, user_id string, text string")
     span = spans.request_span(r)
     spans.exported(span, str(tmp_path / "spans"))
     attrs = spark.read.parquet(str(tmp_path / "spans")).first().attrs
     assert attrs["user.input"] == "手机号 138****5678" and attrs["user.input.length"] == "15" and "user.input" not in spans.request_span(r, "OFF").first().attrs
+    assert attrs["agent.persona"] == "chat" and "user.id" not in attrs
+    silent = spans.request_span(r.withColumn("text", F.lit(None).cast("string")).withColumn("user_id", F.lit("u"))).first().attrs
+    assert silent["user.input.length"] == "0" and "user.input" not in silent and silent["user.id"] == "u"
     m = spark.range(1).select(spans.merged(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("a"), F.lit(3))).alias("m")).first().m
     assert m == {"a": 3, "b": 2}
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import checkpointed
+
 
 class ModelCaller(Protocol):
     def __call__(self, prompts: list[str]) -> list[str | None]:
@@ -20,15 +22,33 @@ def stub_summary(n_lines: Column, lines: Column) -> Column:
     return F.concat(n_lines.cast("string"), F.lit(":"), F.substring_index(lines, "\n", 1))
 
 
-def called(prompts: DataFrame, caller: ModelCaller, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
-    """prompts with the model's answers, a batch a call; a batch that fails gives nulls."""
+def called(prompts: DataFrame, caller: ModelCaller, prompt: str = "prompt", answer: str = "answer", batch: int = 32) -> DataFrame:
+    """prompts with the model's answer, error_class and error_message; where a call failed the answer is null and the error says why.
+
+    Equal prompts are called once, their answers written down in the shared folder and given back to each row; null prompts aren't called.
+    A batch that fails is called again prompt by prompt, so that one prompt's failure is not its neighbours'. A lost
+    executor's prompts are called again.
+    """
+    names = prompts.columns
+
+    def one(p: str) -> tuple:
+        try:
+            return (caller([p])[0], None, None)
+        except Exception as e:  # a remote model may fail in any way; the row tells how
+            return (None, f"{type(e).__module__}.{type(e).__qualname__}".removeprefix("builtins."), str(e) or None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                got = caller(b[prompt].tolist())
-            except Exception:  # a remote model may fail in any way; callers treat null as no answer
-                got = [None] * len(b)
-            yield b.assign(**{answer: got})
-
-    return prompts.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + f", {answer} string")
+            for k in range(0, len(b), batch):
+                part = b["_prompt"].iloc[k : k + batch].tolist()
+                try:
+                    got = [(a, None, None) for a in caller(part)]
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} answers to {len(part)} prompts")
+                except Exception:
+                    got = [one(p) for p in part]
+                yield pd.DataFrame([(p, *g) for p, g in zip(part, got)], columns=["_prompt", answer, "error_class", "error_message"])
+
+    asked = prompts.select(F.col(prompt).alias("_prompt")).filter("_prompt is not null").distinct()
+    said = checkpointed(asked.mapInPandas(run, f"_prompt string, `{answer}` string, error_class string, error_message string"))
+    return prompts.join(said, F.col(prompt) == F.col("_prompt"), "left").select(*names, answer, "error_class", "error_message")

@@ -29,15 +29,25 @@ def rollup(roots: DataFrame, child: DataFrame, name: Column, failed: Column) ->
 
 
 def request_span(request: DataFrame, mode: str = "REDACTED") -> DataFrame:
-    """Attributes of a request's root span."""
+    """Attributes of a request's root span (request_id, session_id, source_app, input_type, persona, user_id, text); a null text has length 0."""
     said = text.captured(F.col("text"), F.lit("text"), F.lit(mode))
-    return request.select("request_id", F.lit("agent.request").alias("name"), attributes(request__id=F.col("request_id"), session__id=F.col("session_id"), source__app=F.col("source_app"), input__type=F.col("input_type"), user__input__length=F.length("text"), user__input=said).alias("attrs"))
+    attrs = attributes(
+        agent__persona=F.col("persona"), user__id=F.col("user_id"), request__id=F.col("request_id"), session__id=F.col("session_id"), source__app=F.col("source_app"),
+        input__type=F.col("input_type"), user__input__length=F.coalesce(F.length("text"), F.lit(0)), user__input=said,
+    )
+    return request.select("request_id", F.lit("agent.request").alias("name"), attrs.alias("attrs"))
+
+
+def answered(roots: DataFrame, responses: DataFrame) -> DataFrame:
+    """Root spans (request_id, attrs) with what the response (request_id, success, text, error_type) that was dispatched first says, which its own span has too; roots without one stay."""
+    said = responses.select("request_id", _response().alias("_said"))
+    return roots.join(said, "request_id", "left").withColumn("attrs", F.when(F.col("_said").isNull(), F.col("attrs")).otherwise(merged(F.col("attrs"), F.col("_said")))).drop("_said")
 
 
 def tool_span(calls: DataFrame, mode: str = "REDACTED") -> DataFrame:
-    """Attributes of tool.execute; success only says that no guard stopped the call."""
+    """Attributes of tool.execute of calls (vehicle, ord, iteration, name, arguments, output, vetoed, veto_reason); success only says that no guard stopped the call."""
     arguments, output = text.captured(F.col("arguments"), F.lit("argument"), F.lit(mode)), text.captured(F.col("output"), F.lit("result"), F.lit(mode))
-    attrs = attributes(tool__name=F.col("name"), tool__arguments=arguments, tool__success=~F.col("vetoed"), tool__safety_veto=F.col("vetoed"), tool__safety_veto_reason=F.col("veto_reason"), tool__output=output)
+    attrs = attributes(agent__iteration=F.col("iteration"), tool__name=F.col("name"), tool__arguments=arguments, tool__success=~F.col("vetoed"), tool__safety_veto=F.col("vetoed"), tool__safety_veto_reason=F.col("veto_reason"), tool__output=output)
     return calls.select("vehicle", "ord", F.lit("tool.execute").alias("name"), attrs.alias("attrs"))
 
 
@@ -78,10 +88,13 @@ def memory_span(steps: DataFrame, mode: str = "REDACTED") -> DataFrame:
     return steps.select("run_id", F.when(extract, "memory.extract").otherwise("memory.compress").alias("name"), attrs.alias("attrs"))
 
 
+def _response() -> Column:
+    return attributes(response__success=F.col("success"), response__text__length=F.coalesce(F.length("text"), F.lit(0)), response__error_type=F.col("error_type"))
+
+
 def response_span(responses: DataFrame) -> DataFrame:
     """response.dispatch of responses (request_id, success, text, error_type)."""
-    attrs = attributes(response__success=F.col("success"), response__text__length=F.coalesce(F.length("text"), F.lit(0)), response__error_type=F.col("error_type"))
-    return responses.select("request_id", F.lit("response.dispatch").alias("name"), attrs.alias("attrs"))
+    return responses.select("request_id", F.lit("response.dispatch").alias("name"), _response().alias("attrs"))
 
 
 def failed(spans: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ which also needs the doors (refused) and the speed (see safety).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import jsonx
+from ..functions import jsonx, text
 
 # Tool names, rules, state fields, defaults and reply texts that results must match.
 #: tool, field, default, what replies call it
@@ -197,3 +199,20 @@ def as_of(calls: DataFrame, updates: DataFrame, value: str, default: Column) ->
     both = calls.withColumn("_v", F.lit(None).cast(updates.schema[value].dataType)).withColumn("_call", F.lit(True)).unionByName(updates.select("vehicle", "ts", "ord", F.col(value).alias("_v"), F.lit(False).alias("_call")), allowMissingColumns=True)
     order = Window.partitionBy("vehicle").orderBy("ts", "ord", "_call").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).filter("_call").select(*names, F.coalesce("_last", default).alias(value))
+
+
+def camera_answers(calls: DataFrame, frames: DataFrame, images: DataFrame, ask: Callable[[DataFrame], DataFrame], default_image: str) -> DataFrame:
+    """calls (vehicle, ts, ord, question) with what the camera tool answers: output, and error_class and error_message where the model failed.
+
+    frames: vehicle, ts, ord, path; images: path, content. The last frame at or before a call counts, the image at
+    default_image where there is none; only its path goes through the sort by time, the bytes are fetched afterwards, once for each
+    question about an image. ask: from prompt to prompt, answer, error_class, error_message (see models.called); the prompt is
+    JSON with question and image (base64). An image that isn't there gives an empty answer.
+    """
+    seen = as_of(calls, frames, "path", F.lit(default_image))
+    asked = seen.select("question", "path").distinct().join(images.select("path", "content"), "path")
+    prompt = F.to_json(F.struct("question", text.base64_plain(F.col("content")).alias("image")))
+    said = ask(asked.select("question", "path", prompt.alias("prompt"))).select("question", "path", "answer", "error_class", "error_message", F.lit(True).alias("_asked"))
+    same = seen["path"].eqNullSafe(said["path"]) & seen["question"].eqNullSafe(said["question"])
+    joined = seen.join(said, same, "left").drop(said["path"]).drop(said["question"])
+    return joined.withColumn("output", F.when(F.col("error_class").isNotNull(), F.concat(F.lit(RUN_FAILED), F.coalesce("error_message", F.lit("null")))).when(F.col("_asked"), text.with_vision_warning(F.col("answer"))).otherwise(F.lit(""))).drop("_asked", "answer")

@@ -330,10 +330,12 @@ def tool_any_door_open(spark, d):
     return tools.any_door_open(doors.withColumn("value", ((F.col("vehicle") % 3 == 0) & (F.col("field") == tools.DOORS[1])).cast("string")))
 
 
-@query("SELECT * FROM (VALUES ('a', 'range', 3), ('b', 'bool', 2), ('c', 'enum', 1)) AS t(name, kind, hi)")
+#: Each event registers a tool under its name; the last one counts.
+@query(f"SELECT name, arg_max(kind, ord) AS kind, max(ord) AS nth, arg_max(hi, ord) AS hi FROM (SELECT name, CASE vehicle % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'range' ELSE 'enum' END AS kind, (vehicle * 7 % 100)::INTEGER AS hi, ord FROM v_tool) GROUP BY name")
 def tool_last_registered(spark, d):
-    rows = [("a", "bool", 1, 1), ("b", "bool", 2, 2), ("a", "range", 3, 3), ("c", "enum", 1, 4)]
-    return tools.last_registered(spark.createDataFrame(rows, "name string, kind string, hi int, nth int")).drop("nth")
+    v, kinds = v_tool(spark, d), F.array(F.lit("bool"), F.lit("range"), F.lit("enum"))
+    told = v.select("name", F.get(kinds, (F.col("vehicle") % 3).cast("int")).alias("kind"), (F.col("vehicle") * 7 % 100).cast("int").alias("hi"), F.col("ord").alias("nth"))
+    return tools.last_registered(told)
 
 
 _GUARD = rf"""{_CHECK}, u AS (SELECT *, CASE WHEN name = 'set_vehicle_spd' AND accepted THEN num END AS spd FROM checked),
@@ -405,10 +407,11 @@ def tool_door_refusal(spark, d):
     return calls.filter("name = 'set_door_lock' and value = 'true'").select("ord", "vehicle", "door_open", "accepted", "output")
 
 
-@query(f"WITH {_RULES} SELECT 'vehicle' AS manager, 0 AS nth, name FROM rules WHERE field IS NOT NULL UNION ALL SELECT 'other', 1, name FROM rules WHERE field IS NULL UNION ALL SELECT 'again', 2, name FROM rules WHERE kind = 'enum'")
+#: Managers register the tools that were called in their vehicles.
+@query("SELECT DISTINCT 'm' || vehicle % 3 AS manager, (vehicle % 3)::INTEGER AS nth, name FROM v_tool")
 def tool_specs(spark, d):
-    r = tools.registry(spark)
-    return tools.specs([("vehicle", r.filter("field is not null")), ("other", r.filter("field is null")), ("again", r.filter("kind = 'enum'"))])
+    v = v_tool(spark, d)
+    return tools.specs([(f"m{k}", v.filter(F.col("vehicle") % 3 == k).select("name").distinct()) for k in range(3)])
 
 
 @query(f"WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{{\"车速\":' || ({SQL_K}) || '}}' WHEN 1 THEN '{{}}' ELSE 'broken' END AS status, CAST({SQL_K} AS INTEGER) AS k FROM events) SELECT event_id, CASE event_id % 3 WHEN 0 THEN k ELSE 0 END AS speed FROM s")
@@ -443,14 +446,16 @@ def scene_change_reset(spark, d):
 _ALLOWED = "allowed(scene, name) AS (VALUES " + ", ".join(f"({_q(s)}, {_q(t)})" for s, ts in scenes.SCENE_TOOLS.items() for t in ts) + ")"
 
 
-@query(f"WITH {_RULES}, {_ALLOWED} SELECT scene, name FROM allowed SEMI JOIN rules USING (name)")
+@query(f"WITH {_RULES}, {_ALLOWED} SELECT ord, scene, allowed.name FROM (SELECT ord, name AS scene FROM v_frame) f JOIN allowed USING (scene) SEMI JOIN rules ON allowed.name = rules.name")
 def scene_tools_semi(spark, d):
-    return scenes.tools_of(tools.registry(spark), scenes.whitelist(spark)).select("scene", "name")
+    usable = scenes.tools_of(tools.registry(spark), scenes.whitelist(spark))
+    return v_frame(spark, d).select("ord", F.col("name").alias("scene")).join(usable, "scene").select("ord", "scene", "name")
 
 
-@query(f"WITH {_RULES}, {_ALLOWED} SELECT scene, name FROM allowed ANTI JOIN rules USING (name)")
+@query(f"WITH {_RULES}, {_ALLOWED} SELECT ord, scene, allowed.name FROM (SELECT ord, name AS scene FROM v_frame) f JOIN allowed USING (scene) ANTI JOIN rules ON allowed.name = rules.name")
 def scene_tools_anti(spark, d):
-    return scenes.missing_tools(scenes.whitelist(spark), tools.registry(spark))
+    missing = scenes.missing_tools(scenes.whitelist(spark), tools.registry(spark))
+    return v_frame(spark, d).select("ord", F.col("name").alias("scene")).join(missing, "scene").select("ord", "scene", "name")
 
 
 @query(f"SELECT ord, name, {_map_sql('name', scenes.ACTIONS, repr(''))} AS action, CASE WHEN {_map_sql('name', scenes.ACTIONS, repr(''))} = '' THEN 'text' ELSE 'text+' || {_map_sql('name', scenes.ACTIONS, repr(''))} END AS merged FROM v_frame")
@@ -675,11 +680,37 @@ def span_http_error(spark, d):
     return spans.http_span(e).select("event_id", "span_status", "error_type")
 
 
-@query(f"WITH {_GUARD} SELECT ord, 'tool.name=' || name || ';tool.success=' || (veto_reason IS NULL)::VARCHAR || coalesce(';tool.safety_veto_reason=' || veto_reason, '') AS attrs FROM vetoes")
+@query(f"WITH {_GUARD} SELECT ord, 'agent.iteration=' || ord % 10 || ';tool.name=' || name || ';tool.success=' || (veto_reason IS NULL)::VARCHAR || coalesce(';tool.safety_veto_reason=' || veto_reason, '') AS attrs FROM vetoes")
 def span_tool_attributes(spark, d):
-    made = spans.tool_span(safety.guarded(v_tool(spark, d), tools.registry(spark)))
-    shown = [F.concat(F.lit(k + "="), F.col("attrs")[k]) for k in ("tool.name", "tool.success", "tool.safety_veto_reason")]
-    return made.select("ord", F.concat_ws(";", *shown).alias("attrs"))
+    made = spans.tool_span(safety.guarded(v_tool(spark, d), tools.registry(spark)).withColumn("iteration", F.col("ord") % 10))
+    return made.select("ord", _shown("agent.iteration", "tool.name", "tool.success", "tool.safety_veto_reason"))
+
+
+#: A request without a text has length 0; null attributes are left out.
+_REQUESTS = """q AS (SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'scene' ELSE 'vision_qa' END AS persona, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 5 > 0 THEN event_type || ' 13812345678' END AS text, event_type FROM events),
+    a AS (SELECT *, 'agent.persona=' || persona || coalesce(';user.id=' || user_id, '') || ';request.id=' || request_id || ';user.input.length=' || coalesce(length(text), 0) || coalesce(';user.input=' || event_type || CASE WHEN text IS NOT NULL THEN ' 138****5678' END, '') AS attrs FROM q)"""
+
+
+def _requests(spark, d):
+    i = F.col("event_id")
+    persona = F.get(F.array(F.lit("chat"), F.lit("scene"), F.lit("vision_qa")), (i % 3).cast("int"))
+    r = load(spark, d, "events").select(i.alias("request_id"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("source_app"), F.lit(None).cast("string").alias("input_type"), persona.alias("persona"), F.when(i % 7 > 0, F.col("user_id")).alias("user_id"), F.when(i % 5 > 0, F.concat("event_type", F.lit(" 13812345678"))).alias("text"))
+    return spans.request_span(r)
+
+
+_REQUEST_KEYS = ("agent.persona", "user.id", "request.id", "session.id", "user.input.length", "user.input")
+
+
+@query(f"WITH {_REQUESTS} SELECT request_id, attrs FROM a")
+def span_request(spark, d):
+    return _requests(spark, d).select("request_id", _shown(*_REQUEST_KEYS))
+
+
+@query(f"WITH {_REQUESTS} SELECT request_id, attrs || CASE WHEN event_type = 'click' THEN '' ELSE ';response.success=' || (event_type <> 'error')::VARCHAR || ';response.text.length=' || CASE WHEN event_type = 'view' THEN 0 ELSE length(event_type) END || CASE WHEN event_type = 'error' THEN ';response.error_type=MODEL' ELSE '' END END AS attrs FROM a")
+def span_root_response(spark, d):
+    kind = F.col("event_type")
+    said = load(spark, d, "events").filter(kind != "click").select(F.col("event_id").alias("request_id"), (kind != "error").alias("success"), F.when(kind != "view", kind).alias("text"), F.when(kind == "error", F.lit("MODEL")).alias("error_type"))
+    return spans.answered(_requests(spark, d), said).select("request_id", _shown(*_REQUEST_KEYS, "response.success", "response.text.length", "response.error_type"))
 
 
 @query(f"SELECT event_id, event_id % 2 <> 0 AS traced FROM events")
@@ -700,11 +731,12 @@ def map_merge(spark, d):
 _SIGNALS = "s(signal_id, prop, area_id, name) AS (VALUES " + ", ".join(f"({i}, {p}, {a}, {_q(n)})" for i, p, a, n in properties.SIGNALS) + ")"
 
 
-@query(f"""WITH {_SIGNALS} SELECT signal_id::BIGINT AS signal_id, name, CASE prop & 4026531840 WHEN 268435456 THEN 'SYSTEM' WHEN 536870912 THEN 'VENDOR' END AS "group",
+@query(f"""WITH {_SIGNALS} SELECT event_id, signal_id::BIGINT AS signal_id, name, CASE prop & 4026531840 WHEN 268435456 THEN 'SYSTEM' WHEN 536870912 THEN 'VENDOR' END AS "group",
     CASE prop & 251658240 WHEN 16777216 THEN 'GLOBAL' WHEN 50331648 THEN 'WINDOW' WHEN 67108864 THEN 'MIRROR' WHEN 83886080 THEN 'SEAT' WHEN 100663296 THEN 'DOOR' WHEN 117440512 THEN 'WHEEL' END AS area,
-    CASE prop & 16711680 WHEN 1048576 THEN 'STRING' WHEN 2097152 THEN 'BOOLEAN' WHEN 4194304 THEN 'INT32' WHEN 4259840 THEN 'INT32_VEC' WHEN 5242880 THEN 'INT64' WHEN 5308416 THEN 'INT64_VEC' WHEN 6291456 THEN 'FLOAT' WHEN 6356992 THEN 'FLOAT_VEC' WHEN 7340032 THEN 'BYTES' WHEN 14680064 THEN 'MIXED' END AS type, (prop & 65535)::BIGINT AS number FROM s""")
+    CASE prop & 16711680 WHEN 1048576 THEN 'STRING' WHEN 2097152 THEN 'BOOLEAN' WHEN 4194304 THEN 'INT32' WHEN 4259840 THEN 'INT32_VEC' WHEN 5242880 THEN 'INT64' WHEN 5308416 THEN 'INT64_VEC' WHEN 6291456 THEN 'FLOAT' WHEN 6356992 THEN 'FLOAT_VEC' WHEN 7340032 THEN 'BYTES' WHEN 14680064 THEN 'MIXED' END AS type, (prop & 65535)::BIGINT AS number FROM events JOIN s ON signal_id = 10001 + event_id % 30""")
 def prop_decode(spark, d):
-    return properties.decoded(properties.signals(spark)).select("signal_id", "name", "group", "area", "type", "number")
+    values = load(spark, d, "events").select("event_id", (F.lit(10001) + F.col("event_id") % 30).alias("signal_id")).join(properties.signals(spark), "signal_id")
+    return properties.decoded(values).select("event_id", "signal_id", "name", "group", "area", "type", "number")
 
 
 def _values(spark, d):
@@ -731,9 +763,12 @@ def prop_with_signal(spark, d):
     return properties.with_signals(values.drop("signal_id"), c.select("prop", "area_id", "name")).select("event_id", "name", "value")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(c)}, {i}, {_q(f)})" for c, fs in properties.CARDS for i, f in enumerate(fs)) + ") AS t(card, pos, function)")
+#: Each event shows a card with its functions.
+@query("SELECT event_id, card, pos, function FROM events JOIN (VALUES " + ", ".join(f"({k}, {_q(c)}, {i}, {_q(f)})" for k, (c, fs) in enumerate(properties.CARDS) for i, f in enumerate(fs)) + f") AS t(nth, card, pos, function) ON nth = event_id % {len(properties.CARDS)}")
 def card_functions(spark, d):
-    return properties.cards(spark).select("card", F.posexplode("functions").alias("pos", "function"))
+    names = F.array(*(F.lit(c) for c, _ in properties.CARDS))
+    shown = load(spark, d, "events").select("event_id", F.get(names, (F.col("event_id") % len(properties.CARDS)).cast("int")).alias("card"))
+    return shown.join(properties.cards(spark), "card").select("event_id", "card", F.posexplode("functions").alias("pos", "function"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u AS unit FROM lineitem JOIN (VALUES ('GALLON', 66), ('US_GALLON', 66), ('LITER', 65), ('IMPERIAL_GALLON', 67)) AS t(u, code) ON code = 65 + l_linenumber % 3")
@@ -840,12 +875,33 @@ def turn_end_runtime(spark, d):
     return personas.runtime(load(spark, d, "events").select("user_id", "ts", F.col("event_id").alias("ord"), (F.col("event_type") == "view").alias("compacted"), K().cast("int").alias("token_estimate")))
 
 
-@query(f"SELECT user_id AS client, string_agg(event_id || '=' || CASE WHEN CAST({SQL_K} AS INTEGER) % 9 = 0 THEN 'none' ELSE ({SQL_K}) END, ',' ORDER BY event_id) AS shown FROM events GROUP BY user_id")
+#: Two callbacks to most requests, some to none.
+@query(f"""WITH c AS (SELECT user_id AS client, CASE WHEN event_id % 17 > 0 THEN event_id // 300 END AS request_id, ts, event_id AS ord, CASE WHEN CAST({SQL_K} AS INTEGER) % 9 > 0 THEN CAST({SQL_K} AS INTEGER) END AS value FROM events)
+    SELECT client, request_id, arg_max(struct_pack(v := value), row(ts, ord)).v AS value FROM c WHERE request_id IS NOT NULL GROUP BY client, request_id""")
 def prop_callbacks(spark, d):
     given = F.when(K().cast("int") % 9 == 0, F.array().cast("array<int>")).otherwise(F.array(K().cast("int"), F.lit(-1)))
-    got = properties.by_request(load(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), given.alias("int_values")))
-    each = F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("none"))))
-    return got.select("client", F.array_join(each, ",").alias("shown"))
+    request = F.when(F.col("event_id") % 17 > 0, F.floor(F.col("event_id") / 300).cast("long"))
+    return properties.by_request(load(spark, d, "events").select(F.col("user_id").alias("client"), request.alias("request_id"), "ts", F.col("event_id").alias("ord"), given.alias("int_values")))
+
+
+#: Sign-ups subscribe and errors unsubscribe; every event sets a value.
+_SUBSCRIBED = f"""e AS (SELECT *, CAST({SQL_K} AS INTEGER) AS k FROM events), r AS (SELECT user_id % 40 AS client, k % 5 AS prop, ts, event_id AS ord, CASE k % 3 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [k % 4, (k + 1) % 4] END AS area_ids,
+        CASE WHEN k % 4 > 0 THEN 1.0::DOUBLE / (3600 * (k % 4)) ELSE 0 END AS rate, event_type = 'error' AS off FROM e WHERE event_type IN ('signup', 'error')),
+    s AS (SELECT *, lead(ts) OVER (PARTITION BY client, prop ORDER BY ts, ord) AS until FROM r), w AS (SELECT client, prop, area_ids, CASE WHEN rate > 0 THEN round(1000000.0::DOUBLE / rate)::BIGINT ELSE 0 END AS width_us, ts AS since, until FROM s WHERE NOT off),
+    p AS (SELECT k % 5 AS prop, (user_id % 4)::INTEGER AS area_id, ts, event_id AS ord, value FROM e),
+    m AS (SELECT client, p.prop, area_id, since, ts, value, p.ord, CASE WHEN width_us > 0 THEN (epoch_us(ts) - epoch_us(since)) // width_us ELSE p.ord END AS slot FROM p JOIN w ON p.prop = w.prop AND since <= ts AND (until IS NULL OR ts < until) AND (coalesce(len(area_ids), 0) = 0 OR list_contains(area_ids, area_id))),
+    n AS (SELECT *, row_number() OVER (PARTITION BY client, prop, area_id, since, slot ORDER BY ts DESC, ord DESC) AS rn FROM m)"""
+
+
+@query(f"WITH {_SUBSCRIBED} SELECT client, prop, area_id, {time_sql('ts')} AS ts, value, ord FROM n WHERE rn = 1")
+def prop_subscriptions(spark, d):
+    e = load(spark, d, "events").withColumn("k", K().cast("int"))
+    k = F.col("k")
+    areas = F.when(k % 3 == 0, F.array().cast("array<int>")).when(k % 3 == 1, F.array(k % 4, (k + 1) % 4))
+    off = F.col("event_type") == "error"
+    told = e.filter(F.col("event_type").isin("signup", "error")).select((F.col("user_id") % 40).alias("client"), (k % 5).alias("prop"), "ts", F.col("event_id").alias("ord"), areas.alias("area_ids"), F.when(k % 4 > 0, F.lit(1.0) / (3600 * (k % 4))).otherwise(0.0).alias("rate"), off.alias("off"))
+    values = e.select((k % 5).alias("prop"), (F.col("user_id") % 4).cast("int").alias("area_id"), "ts", F.col("event_id").alias("ord"), "value")
+    return properties.delivered(values, properties.subscriptions(told)).withColumn("ts", time_text("ts"))
 
 
 # ---- extensions: beyond the operators of an assistant, labelled ext_

@@ -38,6 +38,20 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", text.base64_plain(F.col("content")).alias("base64"))
 
 
+def frames(spark: SparkSession, path: str, stream: bool = False, per_trigger: int = 100) -> DataFrame:
+    """Camera frames from files <seqid>_<mode>.<type>: seqid, mode, ts (when the file was written), path, content.
+
+    As a stream the file source keeps the offsets: a query that starts again with its checkpoint reads each frame once. Files named otherwise are left out, and so are empty ones, which Spark doesn't read.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", per_trigger) if stream else spark.read
+    if stream:
+        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+    named = r"(?:^|/)([0-9]{1,9})_([0-9]{1,9})\.[A-Za-z]+$"
+    rows = reader.format("binaryFile").load(path).filter(F.col("path").rlike(named))
+    number = lambda k: F.regexp_extract("path", named, k).cast("int")
+    return rows.select(number(1).alias("seqid"), number(2).alias("mode"), F.col("modificationTime").alias("ts"), "path", "content")
+
+
 def packed_messages(packed: DataFrame) -> DataFrame:
     """Rows (memory_id, messages_json) to one row a message; text that can't be read gives no rows."""
     item = "array<struct<type:string,text:string,tool_name:string>>"

@@ -132,19 +132,22 @@ def vehicle_states(accepted: DataFrame, initial: DataFrame | None = None, parts:
     return out.select("vehicle", *tools.snapshot_texts(F.map_from_arrays("fields", "values"), parts))
 
 
-class _SpeedAsOf(StatefulProcessor):
-    """Calls wait in a map by (ts, ord) until the watermark has passed them; then they and the speeds that came before them are taken in order."""
+class _InOrder(StatefulProcessor):
+    """Rows (ts, ord, kind, body) of a key wait in a map until the watermark has passed them; then they are taken in order. kind 0 comes before 1 at the same (ts, ord)."""
+
+    #: Of what the rows taken so far leave behind.
+    state, columns = "", []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ts long, ord long, call boolean", "speed int, body string")
-        self.speed = handle.getValueState("speed", "speed int")
+        self.held = handle.getMapState("held", "ts long, ord long, kind int", "body string")
+        self.left = handle.getValueState("left", self.state)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = set()
         for b in rows:
-            for ts, ord_, call, speed, body in zip(_micros(b["ts"]), map(int, b["ord"]), map(bool, b["call"]), b["speed"], b["body"]):
-                self.held.updateValue((ts, ord_, call), (None if pd.isna(speed) else int(speed), body))
+            for ts, ord_, kind, body in zip(_micros(b["ts"]), map(int, b["ord"]), map(int, b["kind"]), b["body"]):
+                self.held.updateValue((ts, ord_, kind), (body,))
                 due.add(ts // 1000 + 1)
         for at in due:
             self.handle.registerTimer(at)
@@ -152,24 +155,63 @@ class _SpeedAsOf(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        now = self.speed.get()[0] if self.speed.exists() else safety.DEFAULT_SPEED
-        out = []
-        # speeds come before calls of the same moment
-        for at in sorted(k for k in self.held.keys() if k[0] < passed):
-            speed, body = self.held.getValue(at)
+        ready = sorted(k for k in self.held.keys() if k[0] < passed)
+        if not ready:
+            return
+        left, out = self.left.get() if self.left.exists() else None, []
+        for at in ready:
+            left, row = self.taken(left, *at, self.held.getValue(at)[0])
             self.held.removeKey(at)
-            if at[2]:
-                out.append((key[0], at[0], at[1], now, body))
-            elif speed is not None:
-                now = speed
-        self.speed.update((now,))
+            if row is not None:
+                out.append((key[0], at[0], at[1], *row))
+        self.left.update(tuple(left))
         if out:
-            yield pd.DataFrame(out, columns=["vehicle", "us", "ord", "speed", "body"])
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def taken(self, left: tuple | None, ts: int, ord_: int, kind: int, body: str) -> tuple[tuple, tuple | None]:
+        """The state after a row, and what is emitted for it."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class _SpeedAsOf(_InOrder):
+    state, columns = "speed int", ["vehicle", "us", "ord", "speed", "body"]
+
+    def taken(self, left, ts, ord_, kind, body):
+        left = left or (safety.DEFAULT_SPEED,)
+        if kind == 1:
+            return left, (left[0], body)
+        return (left if body is None else (int(body),)), None
+
+
+class _Batches(_InOrder):
+    state, columns = "first long, n int, batch long", ["exporter", "us", "ord", "batch", "body"]
+
+    def __init__(self, size: int, seconds: float):
+        self.size, self.span = size, int(seconds * 1e6)
+
+    def taken(self, left, ts, ord_, kind, body):
+        first, n, batch = left or (ts, 0, 0)
+        if n == self.size or ts >= first + self.span:
+            first, n, batch = ts, 0, batch + 1
+        return (first, n + 1, batch), (batch, body)
+
+
+def span_batches(spans: DataFrame, size: int = 64, seconds: float = 2.0, late: str = "10 seconds") -> DataFrame:
+    """spans: exporter long, ts timestamp, ord long and others, in any order and up to late behind. Adds batch, from 0 for each exporter.
+
+    A batch closes with its size or so long after its first span, whichever comes first, so each boundary depends on the one before. A span is out once the watermark has passed it.
+    """
+    own = [c for c in spans.columns if c not in ("exporter", "ts", "ord")]
+    body = F.to_json(F.struct(*own)) if own else F.lit("{}")
+    rows = spans.select("exporter", "ts", "ord", F.lit(0).alias("kind"), body.alias("body")).withWatermark("ts", late).groupBy("exporter")
+    out = rows.transformWithStateInPandas(_Batches(size, seconds), "exporter long, us long, ord long, batch long, body string", "append", "EventTime")
+    read = F.from_json("body", spans.select(*own).schema).alias("s")
+    return out.select("exporter", F.timestamp_micros("us").alias("ts"), "ord", "batch", *([read] if own else [])).select("exporter", "ts", "ord", "batch", *(["s.*"] if own else []))
+
+
 def guarded_calls(calls: DataFrame, speeds: DataFrame, late: str = "10 seconds") -> DataFrame:
     """calls: vehicle long, ts timestamp, ord long, name, arguments; speeds: vehicle, ts, ord, speed int; two streams, each in any order and up to late behind.
 
@@ -177,7 +219,7 @@ def guarded_calls(calls: DataFrame, speeds: DataFrame, late: str = "10 seconds")
     A call and a speed of one (vehicle, ts, ord) are told apart; two calls are not.
     """
     body = F.to_json(F.struct("name", "arguments"))
-    both = calls.select("vehicle", "ts", "ord", F.lit(True).alias("call"), F.lit(None).cast("int").alias("speed"), body.alias("body")).unionByName(speeds.select("vehicle", "ts", "ord", F.lit(False).alias("call"), F.col("speed").cast("int"), F.lit(None).cast("string").alias("body")))
+    both = calls.select("vehicle", "ts", "ord", F.lit(1).alias("kind"), body.alias("body")).unionByName(speeds.select("vehicle", "ts", "ord", F.lit(0).alias("kind"), F.col("speed").cast("int").cast("string").alias("body")))
     rows = both.withWatermark("ts", late).groupBy("vehicle")
     out = rows.transformWithStateInPandas(_SpeedAsOf(), "vehicle long, us long, ord long, speed int, body string", "append", "EventTime")
     out = out.withColumn("call", F.from_json("body", "name string, arguments string")).select("vehicle", F.timestamp_micros("us").alias("ts"), "ord", "call.name", "call.arguments", "speed")
