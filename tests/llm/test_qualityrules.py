@@ -119,3 +119,35 @@ def test_cases(spark):
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("text like 'one two%'").collect()))
     empty = q.fit(stats.limit(0), labels.limit(0))
     assert q.keep(docs.limit(0), empty).count() == 0 and q.judge(stats, empty).filter("kept").count() == 3
+
+
+def test_every_document_and_label_counts(spark):
+    """The extremes that trees are drawn from are those of all rows, each row is in one tree at least, and the last label changes the threshold's counts."""
+    rng = np.random.default_rng(7)
+    n = 40_000  # more than TREES * ROWS
+    x = rng.uniform(0, 1, (n, len(q.RATIOS)))
+    rows = spark.createDataFrame([(k, *[100, 1, 1, 0, 0], r) for k, r in enumerate(x.tolist())], "doc_id long, " + ", ".join(f"{c} long" for c in q.COUNTS) + ", ratios array<double>").cache()
+    dealt = rows.select("ratios", (rows.doc_id % q.TREES).alias("h"))
+    growing = q.Growing(q.TREES, np.ones(len(q.RATIOS)), rng, q.ROWS)
+    for turn in range(2):
+        found = q._ranges(dealt, growing)
+        assert sum(c for c, _, _ in found.values()) == n
+        tree = np.arange(n) % q.TREES
+        node = growing.places(x, tree)
+        for (t, at), (c, low, high) in found.items():
+            own = x[(tree == t) & (node == at)]
+            assert c == len(own) and np.array_equal(low, own.min(0)) and np.array_equal(high, own.max(0))
+        growing.turn(found)
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(n)], "doc_id long, label int")
+    told = rows.join(labels, "doc_id").select("ratios", "label")
+    tallies = q._tallies(told, q._steps, len(q.RATIOS))
+    assert all(good.sum() == n - n // 10 and bad.sum() == n // 10 and (np.diff(at) > 0).all() for at, good, bad in tallies)
+    exact = q.separations(x, (np.arange(n) % 10 > 0).astype(int))
+    assert np.allclose([q._apart(*c[1:]) for c in tallies], exact, atol=0.01)
+    model = q.fit(rows, labels, "label")
+    assert all(len(f) <= 2 * q.ROWS for f, *_ in model.forest.trees)
+    # one more document, far off in one statistic, is a row of one tree and widens its splits
+    odd = rows.limit(1).selectExpr("-1L AS doc_id", *q.COUNTS, "transform(ratios, x -> 1000D) AS ratios")
+    splits = np.array([s.max() for _, s, *_ in q.fit(rows.union(odd), labels, "label").forest.trees])
+    assert (splits > 1).sum() == 1 and max(s.max() for _, s, *_ in model.forest.trees) <= 1
+    rows.unpersist()

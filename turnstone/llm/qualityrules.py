@@ -2,16 +2,18 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Two plain rules reject a document: under 20
 words, or more than 30 % of them in 8-word windows that the text repeats. What
-passes is judged by one isolation forest over all statistics: trees of random splits are grown on
-random samples of the documents, and a document that few splits isolate is anomalous. A split's statistic is drawn
+passes is judged by one isolation forest over all statistics: its trees of random splits are grown on all documents,
+and a document that few splits isolate is anomalous. A split's statistic is drawn
 with a chance in proportion to how far labelled good and bad rows lie apart in it (the largest difference of their distribution
 functions), so that what sets a good document apart for another reason counts little; without labelled rows all have the same chance.
 The threshold comes from labelled rows, too: it tells them apart best while it loses at most LOSS of the good ones (label 1), catches at least
 LEAST of the bad ones, and LIFT times as large a share of them as of the good ones; a forest that can't rejects nothing. A document is kept if it isn't over the threshold.
 
-Bounds: TREES trees are grown from SAMPLE rows each, those with the smallest hashes of
-id and statistics; weights and threshold are found from at most LABELLED labelled rows, those with the smallest hashes of the
-half whose hash of the id is even, the threshold by scores rounded to three places, so that the other half can measure them.
+All documents that pass the plain rules grow the trees, and none is drawn. Up to TREES * ROWS of them stand in one order, of which each tree takes the next ROWS, round and round.
+More are dealt out over the trees, each to one, which grow a level a turn, all at once: the tasks find how many rows each open place has and between which values they lie, the
+driver draws the splits. Such a tree has log2(ROWS) levels, and a share of its rows counts as that share of ROWS, so that neither it nor scores grow with the table.
+Weights and threshold are found from all labelled rows of the half whose hash of the id is even, counted by value: statistics to 1/256 of their size, scores to three places. The other half is
+held out, so that it can measure them.
 
 Defined cases: a null or empty text has no words and is rejected; equal rows
 are judged alike and each kept or not; a score equal to the threshold is kept; without good and bad labelled rows the forest
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from .common import key_and_text, slices, small_batches
 
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
-TREES, SAMPLE, LABELLED, LOSS, LIFT, LEAST = 64, 256, 20_000, 0.005, 10, 0.01
+TREES, ROWS, LOSS, LIFT, LEAST = 64, 256, 0.005, 10, 0.01
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Counts of a text, and the statistics that the forest splits on.
@@ -104,9 +106,11 @@ def base_failed(n_words, n_repeat_words):
 
 
 def expected(n: np.ndarray) -> np.ndarray:
-    """Mean path length of a failed search among n rows."""
+    """Mean path length of a failed search among n rows; of parts of rows by interpolation."""
     n = np.asarray(n, float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+    whole = lambda n: np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
+    low = np.floor(n)
+    return whole(low) + (n - low) * (whole(low + 1) - whole(low))
 
 
 @dataclass(frozen=True)
@@ -114,7 +118,7 @@ class Forest:
     """Each tree in arrays: feature (-1: a leaf), split value, left child (right is the next), path length at a leaf."""
 
     trees: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
-    sample: int
+    rows: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, higher for rows that fewer splits isolate."""
@@ -131,7 +135,7 @@ class Forest:
                 at = node[inner]
                 node[inner] = left[at] + (x[inner, f[inner]] >= split[at])
             total += length[node]
-        return 2.0 ** (-total / len(self.trees) / max(float(expected(self.sample)), 1e-9))
+        return 2.0 ** (-total / len(self.trees) / max(float(expected(self.rows)), 1e-9))
 
 
 def grow(rows: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,6 +160,100 @@ def grow(rows: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> tup
     return np.array(feature), np.array(split), np.array(left), np.array(length)
 
 
+class Growing:
+    """Trees of many rows that grow a level a turn, their nodes in arrays of trees x nodes; open: the tree and node of those that aren't split yet."""
+
+    def __init__(self, trees: int, weights: np.ndarray, rng: np.random.Generator, rows: int):
+        """rows: as how many the rows of a tree count, if it has more."""
+        self.weights, self.rng, self.rows = weights, rng, rows
+        self.feature, self.split = np.full((trees, 1), -1), np.zeros((trees, 1))
+        self.left, self.length = np.zeros((trees, 1), np.int64), np.zeros((trees, 1))
+        self.used, self.depth, self.total, self.open = np.ones(trees, np.int64), 0, np.zeros(trees, np.int64), {(k, 0) for k in range(trees)}
+
+    def places(self, x: np.ndarray, tree: np.ndarray) -> np.ndarray:
+        """The node of each row of x in its tree."""
+        return _places(self.feature, self.split, self.left, x, tree)
+
+    def turn(self, ranges: dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Splits the open nodes. ranges: number, least and greatest values of the rows of each that has some."""
+        if not self.depth:
+            for (tree, _), (n, _, _) in ranges.items():
+                self.total[tree] = n
+        most = np.minimum(self.total, self.rows)
+        made = set()
+        self._widen(2 * len(ranges))
+        for tree, node in sorted(self.open & ranges.keys()):
+            n, low, high = ranges[tree, node]
+            counts = n * most[tree] / self.total[tree]
+            free = np.flatnonzero((high > low) & (self.weights > 0))
+            if self.depth >= np.ceil(np.log2(max(most[tree], 2))) or counts <= 1 or not len(free):
+                self.length[tree, node] = self.depth + float(expected(counts))
+                continue
+            f = int(self.rng.choice(free, p=self.weights[free] / self.weights[free].sum()))
+            at = self.rng.uniform(low[f], high[f])
+            k = int(self.used[tree])
+            self.feature[tree, node], self.split[tree, node], self.left[tree, node] = f, at if at > low[f] else high[f], k
+            self.used[tree] = k + 2
+            made |= {(tree, k), (tree, k + 1)}
+        self.open, self.depth = made, self.depth + 1
+
+    def _widen(self, most: int) -> None:
+        more = max(0, int(self.used.max()) + most - self.feature.shape[1])
+        self.feature = np.pad(self.feature, ((0, 0), (0, more)), constant_values=-1)
+        self.split, self.left, self.length = (np.pad(x, ((0, 0), (0, more))) for x in (self.split, self.left, self.length))
+
+    def trees(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]:
+        return tuple((self.feature[k, :n], self.split[k, :n], self.left[k, :n], self.length[k, :n]) for k, n in enumerate(self.used.tolist()))
+
+
+def _places(feature: np.ndarray, split: np.ndarray, left: np.ndarray, x: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    while True:
+        f = feature[tree, node]
+        inner = np.flatnonzero(f >= 0)
+        if not len(inner):
+            return node
+        t, at = tree[inner], node[inner]
+        node[inner] = left[t, at] + (x[inner, f[inner]] >= split[t, at])
+
+
+def spread(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in ascending order, and number, least and greatest values of the rows of each."""
+    by = np.argsort(key, kind="stable")
+    keys, first, n = np.unique(key[by], return_index=True, return_counts=True)
+    return keys, n, np.minimum.reduceat(x[by], first), np.maximum.reduceat(x[by], first)
+
+
+def _ranges(dealt: DataFrame, growing: Growing) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
+    """Of all rows (ratios, h: the tree): number, least and greatest values in the open nodes."""
+    wide, names = len(RATIOS), ["tree", "node", "n", *(f"{end}{k}" for end in ("low", "high") for k in range(len(RATIOS)))]
+    feature, split, left = growing.feature, growing.split, growing.left
+    open_ = np.zeros(feature.shape, bool)
+    open_[tuple(zip(*growing.open))] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, low, high = np.zeros(open_.size, np.int64), np.full((open_.size, wide), np.inf), np.full((open_.size, wide), -np.inf)
+        for b in batches:
+            x, tree = _matrix(b), b.column("h").to_numpy()
+            node = _places(feature, split, left, x, tree)
+            some = open_[tree, node]
+            if some.any():
+                keys, n, least, most = spread(x[some], tree[some] * open_.shape[1] + node[some])
+                number[keys] += n
+                low[keys], high[keys] = np.minimum(low[keys], least), np.maximum(high[keys], most)
+        have = np.flatnonzero(number)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (have // open_.shape[1], have % open_.shape[1], number[have], *low[have].T, *high[have].T)], names)
+
+    kinds = ", ".join(f"{c} {'long' if k < 3 else 'double'}" for k, c in enumerate(names))
+    ends = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in names[3:]]
+    found = dealt.mapInArrow(run, kinds).groupBy("tree", "node").agg(F.sum("n").alias("n"), *ends).collect()
+    return {(r.tree, r.node): (r.n, np.array(r[3 : 3 + wide]), np.array(r[3 + wide :])) for r in found}
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("ratios").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(RATIOS))
+
+
 @dataclass(frozen=True)
 class Judge:
     """The forest, its threshold, and the weights of RATIOS that it was grown with."""
@@ -171,26 +269,35 @@ class Judge:
 
 def separations(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """For each column the largest difference between the distribution functions of its good (1) and bad (0) rows; 1 for all where either is missing or nothing tells them apart."""
-    good, bad = x[labels == 1], x[labels == 0]
-    if not len(good) or not len(bad):
-        return np.ones(x.shape[1])
-    out = np.zeros(x.shape[1])
-    for k in range(x.shape[1]):
-        at = np.unique(x[:, k])
-        share = lambda rows: np.searchsorted(np.sort(rows[:, k]), at, "right") / len(rows)  # noqa: B023, E731
-        out[k] = np.abs(share(good) - share(bad)).max()
-    return out if out.any() else np.ones(x.shape[1])
+    return _weights([_apart(*_counted(x[:, k], labels)[1:]) for k in range(x.shape[1])])
+
+
+def _counted(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values in ascending order, and how many good and bad rows have each."""
+    at, which = np.unique(x, return_inverse=True)
+    return at, np.bincount(which[labels == 1], minlength=len(at)), np.bincount(which[labels == 0], minlength=len(at))
+
+
+def _apart(good: np.ndarray, bad: np.ndarray) -> float:
+    """The largest difference of the distribution functions; 1 where either is missing."""
+    return float(np.abs(np.cumsum(good) / good.sum() - np.cumsum(bad) / bad.sum()).max()) if good.sum() and bad.sum() else 1.0
+
+
+def _weights(apart: list[float]) -> np.ndarray:
+    return np.array(apart) if any(apart) else np.ones(len(apart))
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray, loss: float = LOSS, lift: float = LIFT, least: float = LEAST) -> float:
     """The cut between scores of labelled rows (1 good, 0 bad) that tells them apart best, of those that lose at most the share loss of the good ones,
     catch at least the share least of the bad ones and lift times as large a share of them as of the good ones; 1, which no score is over, if there is none."""
-    good, bad = scores[labels == 1], scores[labels == 0]
-    if not len(good) or not len(bad):
+    return cut(*_counted(scores, labels), loss, lift, least)
+
+
+def cut(at: np.ndarray, good: np.ndarray, bad: np.ndarray, loss: float = LOSS, lift: float = LIFT, least: float = LEAST) -> float:
+    """threshold() by the scores in ascending order and how many good and bad rows have each."""
+    if not good.sum() or not bad.sum():
         return 1.0
-    at = np.unique(scores)
-    over = lambda rows: (len(rows) - np.searchsorted(np.sort(rows), at, "right")) / len(rows)
-    lost, caught = over(good), over(bad)
+    lost, caught = ((n.sum() - np.cumsum(n)) / n.sum() for n in (good, bad))
     net = np.where((lost <= loss + 1e-12) & (caught >= least) & (caught >= lift * lost), caught - lost, 0.0)[:-1]
     if not len(net) or net.max() <= 0:
         return 1.0
@@ -198,33 +305,51 @@ def threshold(scores: np.ndarray, labels: np.ndarray, loss: float = LOSS, lift:
     return float((at[k] + at[k + 1]) / 2)
 
 
-def _bound(want: int, n: int) -> int:
-    """Of n hashes up to 2^30 about as many as wanted are under it: the others are dropped first, so that no task sends a whole sample to the driver."""
-    return min(1 << 30, int((1 << 30) * (want + 6 * want**0.5 + 50) / max(n, 1)))
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of x (0 or more), equal where x differs by less than 1/256 of its size."""
+    return (x + 0.0).view(np.int64) >> 44
+
+
+def _tallies(told: DataFrame, of, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of n columns of whole numbers that of() makes of the ratios of a batch: the numbers in ascending order, and how many good and bad rows have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, label = of(_matrix(b)), b.column("label").to_numpy()
+            for k in range(n):
+                at, good, bad = _counted(made[:, k], label)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(good), pa.array(bad)], ["k", "at", "good", "bad"])
+
+    rows = told.mapInArrow(run, "k long, at long, good long, bad long").groupBy("k", "at").agg(F.sum("good"), F.sum("bad")).collect()
+    found = np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 4)
+    return [tuple(found[found[:, 0] == k, 1:].T) for k in range(n)]
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", trees: int = TREES, sample: int = SAMPLE, loss: float = LOSS, seed: int = 3) -> Judge:
-    """stats: what statistics() returns, best stored; labels: doc_id and label_col."""
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", trees: int = TREES, rows: int = ROWS, loss: float = LOSS, seed: int = 3) -> Judge:
+    """stats: what statistics() returns, best stored, as each level of the trees reads it; labels: doc_id and label_col."""
     passed = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    want, n = trees * sample, passed.count()
-    hashed = passed.select("ratios", F.xxhash64(F.lit(seed), "doc_id", *COUNTS).alias("h")).filter(F.pmod(F.col("h"), F.lit(1 << 30)) < _bound(want, n))
-    drawn = hashed.orderBy("h", "ratios").limit(want).collect()
-    if not drawn:
+    n = passed.count()
+    if not n:
         return Judge(Forest((), 0), 1.0, (1.0,) * len(RATIOS))
-    known = calibrating(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)"))
-    known = known.withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id")).filter(F.pmod(F.col("h"), F.lit(1 << 30)) < _bound(LABELLED, known.count()))
-    told = passed.join(known, "doc_id").orderBy("h", "doc_id", "label", "ratios").limit(LABELLED).select("ratios", "label").collect()
-    x, y = np.array([r.ratios for r in told]).reshape(-1, len(RATIOS)), np.array([r.label for r in told])
-    weights = separations(x, y)
-    rng = np.random.default_rng(seed)
-    rows = rng.permutation(np.array([r.ratios for r in drawn]))
-    size = min(sample, len(rows))
-    forest = Forest(tuple(grow(rows[(np.arange(size) + k * size) % len(rows)], weights, rng) for k in range(trees)), size)
-    return Judge(forest, threshold(forest.scores(x).round(3), y, loss), tuple(weights.tolist()))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
+    told = passed.join(calibrating(known), "doc_id").select("ratios", "label")
+    weights = _weights([_apart(*c[1:]) for c in _tallies(told, _steps, len(RATIOS))])
+    rng, hashed = np.random.default_rng(seed), F.xxhash64(F.lit(seed), "doc_id", *COUNTS)
+    if n <= trees * rows:
+        every = rng.permutation(np.array([r.ratios for r in passed.select("ratios", hashed.alias("h")).orderBy("h", "ratios").collect()]))
+        size = min(rows, n)
+        forest = Forest(tuple(grow(every[(np.arange(size) + k * size) % n], weights, rng) for k in range(trees)), size)
+    else:
+        dealt, growing = passed.select("ratios", F.pmod(hashed, F.lit(trees)).alias("h")), Growing(trees, weights, rng, rows)
+        while growing.open:
+            growing.turn(_ranges(dealt, growing))
+        forest = Forest(growing.trees(), rows)
+    at, good, bad = _tallies(told, lambda x: (forest.scores(x) * 1000).round().astype(np.int64)[:, None], 1)[0]
+    return Judge(forest, cut(at / 1000, good, bad, loss), tuple(weights.tolist()))
 
 
 def calibrating(rows: DataFrame) -> DataFrame:
-    """The half of labelled rows (doc_id) that weights and threshold are found from."""
+    """The half of labelled rows (doc_id) that weights and threshold are found from; the other one is held out to measure them."""
     return rows.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(True)))
 
 
@@ -234,8 +359,7 @@ def scored(stats: DataFrame, judge: Judge, more: list[str] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("ratios").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(RATIOS))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(judge.over(x))], [*names, "over"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(judge.over(_matrix(b)))], [*names, "over"])
 
     return stats.mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in COUNTS) + "".join(f"{c} int, " for c in more or []) + "over double")
 
@@ -266,8 +390,7 @@ def kept(rows: DataFrame, model: Judge) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(RATIOS))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(model.over(x) <= 0))], ["row"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(model.over(_matrix(b)) <= 0))], ["row"])
 
     return open_.mapInArrow(run, open_.select("row").schema).select("row.*")
 
